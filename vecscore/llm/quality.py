@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import SPACE_RE, SPACES, ascii_lower, materialise, space_words
+from vecscore.llm.common import SPACES, materialise, space_words
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -50,7 +50,7 @@ def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_l", F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     out = out.withColumns({
         "n_words": F.size("_w").cast("long"),
-        "word_chars": F.char_length(F.regexp_replace(raw, SPACE_RE, "")).cast("long"),
+        "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
         "n_symbols": F.regexp_count(raw, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
@@ -60,8 +60,9 @@ def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, single blanks, digits as one 0."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(ascii_lower(line), SPACE_RE, " "), "[0-9]+", "0"), F.lit(" "))
+    """Lower case, single blanks, digits as one 0. Only white space other than a single blank is rewritten."""
+    single = F.regexp_replace(F.lower(line), r"\x20*+[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}", " ")
+    return F.btrim(F.regexp_replace(single, "[0-9]+", "0"), F.lit(" "))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -78,7 +79,7 @@ def _line_rows(keyed: DataFrame) -> DataFrame:
     """One row per non-blank line: its place, 128-bit hash and words."""
     lines = keyed.select("_id", "_host", "_digest", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
     lines = lines.withColumn("_norm", normal_line(F.col("_line"))).filter(F.col("_norm") != "")
-    return lines.select("_id", "_host", "_digest", "_pos", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit("line"), "_norm").alias("_h2"), F.size(F.split("_norm", " ")).alias("_nw"))
+    return lines.select("_id", "_host", "_digest", "_pos", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit("line"), "_norm").alias("_h2"), (F.octet_length("_norm") - F.octet_length(F.replace("_norm", F.lit(" "), F.lit(""))) + 1).alias("_nw"))
 
 
 def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

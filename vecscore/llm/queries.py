@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecscore.llm import chat, licenses, quality
+from vecscore.llm import chat, digest, licenses, lines, mixing, packing, quality, simhash, toxicity, urls
 from vecscore.llm.common import read
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The public vocabulary of the packing contract, once as the tokenizer's file and once as ranks."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -20,12 +27,37 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.chat_windows(rows.unionByName(extra))))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, bits=4)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), **tokenizer_files())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept", "removed_words")
 
 
-QUERIES = {
-    "op1_license_scan": op1_license_scan,
-    "op2_chat_formatting": op2_chat_formatting,
-    "op7_quality_rules": op7_quality_rules,
-}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.document_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(read(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_simhash, op4_toxicity, op5_line_dedup, op6_packing, op7_quality_rules, op8_fingerprints, op9_url_filter, op10_mixing)}

@@ -85,7 +85,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
 line AS (SELECT doc_id, source, h, unnest(string_split(t, chr(10))) AS l FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '{word}') GROUP BY doc_id),
-norm AS (SELECT doc_id, source, h, trim(regexp_replace(regexp_replace(translate(l, {_AZ}), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS l FROM line),
+norm AS (SELECT doc_id, source, h, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS l FROM line),
 host AS (SELECT source, count(DISTINCT h) AS n FROM d GROUP BY source),
 freq AS (SELECT source, l, count(DISTINCT h) AS n FROM norm WHERE l <> '' GROUP BY source, l),
 over AS (SELECT freq.source, l FROM freq JOIN host ON freq.source IS NOT DISTINCT FROM host.source WHERE freq.n > {limits.floor} AND freq.n > {limits.share} * host.n),
