@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Python functions go to the executors with their code: the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["vecscore"])
+
 #: The white space of the word contracts: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"

@@ -24,7 +24,6 @@ import base64
 import bisect
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,6 @@ from vecscore.llm.common import materialise
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e¡-ſ‐-‧]*")
 
 
-@lru_cache(maxsize=2)
 def load_encoder(vocabulary: str, ranks: str | None = None):
     """A function from text to ids, as the tokenizer file has them.
 
