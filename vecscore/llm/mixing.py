@@ -10,8 +10,8 @@ reaches 0 or 1; a block of any size ends with two fractional documents at most.
 
 Blocks of bounded size are flown apart; what stays fractional in all blocks of a
 source meets again in fewer blocks, round by round, until one block holds the
-source's rest. The landing there sets the last two so that the words' total is
-nearest to what was due. The random moves follow hashes of the documents, so
+source's rest. The landing there tries all choices of its last dozen documents and
+takes the one whose words come nearest to what was due. The random moves follow hashes of the documents, so
 reruns agree.
 
 Defined results: a null text has size 0; sources without words have target 0 and
@@ -35,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """``source, source_size, target`` from ``source, size``: weighted shares, filled up to ``most`` times each size.
+    """``of`` (the source), ``source_size, n, target`` from ``source, size``: weighted shares, filled up to ``most`` times each size.
 
     Sharing the excess again until none is above is one level: every source gets
     the smaller of its cap and level times weight. Sources are sorted by the level at
@@ -53,16 +53,16 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     t = t.withColumn("due", share * F.sum("source_size").over(whole)).withColumn("level", (F.col("due") - F.col("filled")) / F.col("open"))
     # these levels rise up to the first source that doesn't fill at its own, and fall from there on
     t = t.withColumn("level", F.max(F.when(F.col("level") <= F.col("fills"), F.col("level"))).over(whole))
-    return t.select("source", "source_size", "n", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    return t.select(F.col("source").alias("of"), "source_size", "n", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> None:
-    """Move the probabilities, in place, until two at most are fractional; words and documents expected stay the same."""
+def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray, keep: int = 2) -> None:
+    """Move the probabilities, in place, until ``keep`` (2 at least) or fewer are fractional; words and documents expected stay the same."""
     eps = 1e-12
-    todo = iter(np.flatnonzero((p > eps) & (p < 1 - eps)).tolist())
-    trio = [i for _, i in zip(range(3), todo, strict=False)]
+    todo = np.flatnonzero((p > eps) & (p < 1 - eps)).tolist()
+    trio, at = todo[:3], 3
     turn = 0
-    while len(trio) == 3:
+    while len(trio) == 3 and len(trio) + len(todo) - at > keep:
         a, b, c = trio
         sa, sb, sc = float(size[a]), float(size[b]), float(size[c])
         u = (sc - sb, sa - sc, sb - sa)  # sums to 0, and so does its product with the sizes
@@ -90,27 +90,30 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> None:
             p[near] = round(p[near])
             rest.remove(near)
         trio = rest
-        while len(trio) < 3 and (i := next(todo, None)) is not None:
-            trio.append(i)
+        while len(trio) < 3 and at < len(todo):
+            trio.append(todo[at])
+            at += 1
 
 
 def land(p: np.ndarray, size: np.ndarray) -> None:
-    """Set the last fractional ones, in place, so that words come nearest to what was expected."""
+    """Set the last few fractional ones, in place: of the choices with as many documents as expected, give or take one, that with the nearest words."""
     rest = np.flatnonzero((p > 0) & (p < 1))
-    due = float((p[rest] * size[rest]).sum())
-    choices = np.array(np.meshgrid(*[[0, 1]] * len(rest))).reshape(len(rest), -1).T if len(rest) else np.zeros((1, 0))
-    off = np.abs(choices @ size[rest] - due)
-    p[rest] = choices[int(np.argmin(off))]
+    if not len(rest):
+        return
+    choices = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+    words = np.abs(choices @ size[rest] - float((p[rest] * size[rest]).sum()))
+    rows = np.abs(choices.sum(axis=1) - float(p[rest].sum()))
+    p[rest] = choices[int(np.lexsort((rows, words, rows >= 1.5))[0])]
 
 
-def _round(units: DataFrame, block: int, k: int, last: bool) -> DataFrame:
+def _round(units: DataFrame, block: int, k: int, last: bool, landing: int) -> DataFrame:
     """One round: each block of each source is flown; in the last round, a source is one block and is landed."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "size"], ignore_index=True)
         p, size = pdf["p"].to_numpy(dtype=float, copy=True), pdf["size"].to_numpy(dtype=float)
         seed = int(pdf["h"].to_numpy().view(np.uint64).sum(dtype=np.uint64)) ^ k
-        flight(p, size, np.random.Generator(np.random.PCG64(seed)).random(max(1, len(p))))
+        flight(p, size, np.random.Generator(np.random.PCG64(seed)).random(max(1, len(p))), landing if last else 2)
         if last:
             land(p, size)
         pdf["p"] = p
@@ -120,7 +123,7 @@ def _round(units: DataFrame, block: int, k: int, last: bool) -> DataFrame:
     return units.withColumn("b", blocks).groupBy("source", "b").applyInPandas(fly, units.withColumn("b", F.lit(0)).schema).drop("b")
 
 
-def cube_sample(units: DataFrame, block: int = 4096) -> DataFrame:
+def cube_sample(units: DataFrame, block: int = 4096, landing: int = 12) -> DataFrame:
     """``units`` (source, doc_id, h, size, p) with ``p`` 0 or 1. ``h`` spreads and orders the rows of a source."""
     kinds = ["source", "doc_id", "h", "size", "p"]
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
@@ -128,11 +131,11 @@ def cube_sample(units: DataFrame, block: int = 4096) -> DataFrame:
     rest = units.select(*kinds).filter(fractional)
     k = 0
     while True:
-        counts = materialise(rest.groupBy("source").agg(F.count(F.lit(1)).alias("left")), "left")
+        counts = materialise(rest.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("left")), "left")
         most = counts.agg(F.max("left")).first()[0] or 0
         last = most <= block
-        joined = rest.join(counts, rest["source"].eqNullSafe(counts["source"])).drop(counts["source"])
-        flown = materialise(_round(joined.select(*kinds, "left"), block, k, last).select(*kinds), f"flown{k}")
+        joined = rest.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        flown = materialise(_round(joined.select(*kinds, "left"), block, k, last, landing).select(*kinds), f"flown{k}")
         done = done.unionByName(flown.filter(~fractional))
         if last:
             return done
@@ -145,12 +148,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
     rows = materialise(rows, "sizes")
     targets = materialise(source_targets(rows, share, most, weights), "targets")
-    joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     times = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     joined = joined.withColumn("times", times).withColumn("whole", F.floor(F.col("times") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("times") - F.col("whole")))
     joined = joined.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
     chosen = cube_sample(joined.select("source", "doc_id", "h", "size", "p"))
-    chosen = chosen.join(targets, chosen["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    chosen = chosen.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.least(F.lit(most), F.col("target") / F.col("source_size")) + 1e-9)).otherwise(F.lit(0))
     return chosen.select("doc_id", "source", "h", "size", "source_size", "target", (whole + F.col("p")).cast("long").alias("copies"))
 
