@@ -95,21 +95,31 @@ def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: s
     return counts.join(hosts, "_host").filter(F.col("n_docs") > F.greatest(F.lit(float(limits.floor)), limits.share * F.col("_texts"))).select("_host", "_h1", "_h2", "n_docs")
 
 
+_KEY = ["_id", "_host", "_digest"]
+
+
 def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` with the base counts, ``removed_words``, ``removed_lines`` (their places), ``base_failed`` and ``kept``."""
+    """A row per row of ``docs``: its id, the base counts, ``removed_words``, ``removed_lines`` (their places), ``base_failed`` and ``kept``.
+
+    The counts are written before anything is filtered by them: an optimizer that
+    pushed such a filter down would count the windows of each text again and again.
+    """
     over = materialise(frequent_lines(docs, limits, doc_id, text, host), "frequent_lines")
     hits = _line_rows(_keyed(docs, doc_id, text, host)).join(over, ["_host", "_h1", "_h2"])
-    removed = hits.select("_id", "_host", "_digest", "_pos", "_nw").distinct().groupBy("_id", "_host", "_digest").agg(F.sum("_nw").alias("removed_words"), F.array_sort(F.collect_list("_pos")).alias("removed_lines"))
-    out = _keyed(document_features(docs, text), doc_id, text, host).drop("_text")
-    out = out.join(removed, ["_id", "_host", "_digest"], "left").drop("_id", "_host", "_digest")
+    removed = hits.select(*_KEY, "_pos", "_nw").distinct().groupBy(*_KEY).agg(F.sum("_nw").alias("removed_words"), F.array_sort(F.collect_list("_pos")).alias("removed_lines"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
+    features = document_features(_keyed(narrow, "doc_id", "text", "host"))
+    features = materialise(features.select("doc_id", *_KEY, *FEATURES, "base_failed"), "features")
+    out = features.join(removed, _KEY, "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & (left < limits.min_words) & (left <= limits.min_kept_share * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def without_frequent_lines(ruled: DataFrame, text: str = "text") -> DataFrame:
-    """The kept documents of :func:`quality_rules`, their frequent lines taken out of ``text``."""
-    kept = ruled.filter("kept")
-    cleaned = F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n"))
-    return kept.withColumn(text, cleaned)
+def without_frequent_lines(docs: DataFrame, ruled: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, their frequent lines taken out of ``text``."""
+    kept = ruled.filter("kept").select(*_KEY, F.col("removed_lines").alias("_gone")).dropDuplicates(_KEY)
+    joined = _keyed(docs, doc_id, text, host).drop("_text").join(kept, _KEY)
+    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    return joined.withColumn(text, cleaned).drop(*_KEY, "_gone")

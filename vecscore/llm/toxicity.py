@@ -50,13 +50,9 @@ class ToxicModel:
     lam: float = 1.0
     k: float = 0.1
     expect: float = 0.05
-    low: float = -20.0
-    high: float = 60.0
+    low: float = -20.0  # the evidence of texts without any segment
     probability: list[float] = field(default_factory=lambda: [0.0] * BINS)
 
-    def bin(self, evidence):
-        return np.clip(((np.asarray(evidence) - self.low) / (self.high - self.low) * BINS).astype(int), 0, BINS - 1)
-
 
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -244,8 +240,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     if model.weights:
         model = fit_chance(_training(docs, known, doc_id, text), model)
     scored = materialise(score_rows(docs, model, doc_id, text), "evidence")
-    width = (model.high - model.low) / BINS
-    place = F.least(F.greatest(F.floor((F.col("evidence") - model.low) / width), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    # bins are even in asinh(evidence): fine near chance, wide far beyond it
+    first, last = math.asinh(model.low), math.asinh(1e6)
+    place = F.least(F.greatest(F.floor((F.asinh("evidence") - first) / ((last - first) / BINS)), F.lit(0)), F.lit(BINS - 1)).cast("int")
     bins = scored.join(F.broadcast(known), "doc_id").groupBy(place.alias("bin")).agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).collect()  # at most BINS rows
     good, rest = np.zeros(BINS), np.zeros(BINS)
     for r in bins:
