@@ -1,18 +1,59 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, source mixing and packing over ``documents``."""
+"""Corpus pipeline over ``documents``: rules, line dedup, near-dedup, source mixing and packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that the one before it
+kept, and returns a DataFrame that is written as Parquet and read again as the
+next one's docs. All but the last return the columns of ``documents``; ``n_chars``
+is counted anew where a text has changed. Null and empty texts pass the stages as
+the operators define; an empty table goes through all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecscore.llm import quality
+from vecscore.llm import lines, mixing, packing, quality, simhash
 from vecscore.llm.common import DOCUMENT_COLUMNS, materialise, read
+from vecscore.llm.queries import tokenizer_files
+
+
+def _as_documents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose their hosts' boilerplate lines."""
+    return _as_documents(quality.without_frequent_lines(docs, quality.quality_rules(docs)))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line matches go; documents stay, if need be without text."""
+    return _as_documents(lines.dedup_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, by shingles of five words, the smallest doc_id stays."""
+    return simhash.one_of_each(docs, words=5, bits=4).select(*DOCUMENT_COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.repeated(docs, mixing.mix(docs)).select(*DOCUMENT_COLUMNS)
 
 
-def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.without_frequent_lines(quality.quality_rules(docs)).select(*DOCUMENT_COLUMNS)
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and place."""
+    return packing.pack_documents(docs, **tokenizer_files())
 
 
-STAGES = [("quality_rules", apply_quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL has no tokenizer, cube method or components of unbounded depth; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
