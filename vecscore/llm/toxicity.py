@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecscore.llm.common import ascii_lower, materialise
@@ -39,6 +39,8 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TABLE = {c: c + 32 for c in range(65, 91)}
 BINS = 2048
+#: Lengths of the word beginnings that are tokens too: inflected and compound forms share them.
+STEMS = (5, 7)
 
 
 @dataclass
@@ -90,27 +92,41 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - lft) for a, b, lft, r, _ in segments]
 
 
+class WordScores(dict):
+    """The score of each word: the largest of its own weight and those of its beginnings, found once per word."""
+
+    def __init__(self, model: ToxicModel):
+        super().__init__()
+        self.weights, self.other = model.weights, model.other
+
+    def __missing__(self, word: str) -> float:
+        get = self.weights.get
+        known = [x for x in (get(word), *(get(word[:n] + "*") for n in STEMS if len(word) > n)) if x is not None]
+        score = max(known, default=self.other)
+        if len(self) < 1_000_000:
+            self[word] = score
+        return score
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").translate(_TABLE))
 
 
-def passages(model: ToxicModel, words: list[str]) -> list[tuple[int, int, float]]:
+def passages(model: ToxicModel, words: list[str], known: WordScores) -> list[tuple[int, int, float]]:
     """Significant segments: (first word, end, log-likelihood beyond chance)."""
     if not words:
         return []
-    get, other = model.weights.get, model.other
-    scores = np.fromiter((get(w, other) for w in words), dtype=float, count=len(words))
+    scores = np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
     chance = math.log(model.k * len(words))
     found = ((a, b, model.lam * s - chance) for a, b, s in maximal_segments(scores))
     return [(a, b, x) for a, b, x in found if x >= -math.log(model.expect)]
 
 
-def evidence(model: ToxicModel, words: list[str]) -> tuple[float, int]:
+def evidence(model: ToxicModel, words: list[str], known: WordScores) -> tuple[float, int]:
     """Sum over significant segments, or the best one's if none is; and how many are significant."""
     if not words:
         return model.low, 0
-    get, other = model.weights.get, model.other
-    scores = np.fromiter((get(w, other) for w in words), dtype=float, count=len(words))
+    scores = np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
     chance = math.log(model.k * len(words))
     own = [model.lam * s - chance for *_, s in maximal_segments(scores)]
     strong = [x for x in own if x >= -math.log(model.expect)]
@@ -140,6 +156,13 @@ def isotonic(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), g / n if n else 0.0) for g, n, k in blocks])
 
 
+def text_tokens(text) -> Column:
+    """The distinct tokens of a text: its words, and the beginnings of longer words, marked by a star."""
+    words = F.array_distinct(F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), ""))
+    begun = [F.transform(F.filter(words, lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    return F.array_distinct(F.concat(words, *begun))
+
+
 def known_labels(labels: DataFrame, bound: int = 200_000, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """``doc_id, y`` of at most ``bound`` labelled documents that aren't held out, chosen by a hash of the id.
 
@@ -154,42 +177,37 @@ def _training(docs: DataFrame, known: DataFrame, doc_id: str, text: str) -> Data
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
 
 
-def learn_weights(docs: DataFrame, known: DataFrame, vocabulary: int = 50_000, prior: float = 200.0, min_z: float = 2.0, doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
-    """Log-odds of the words with the clearest difference; the prior's counts cover the whole corpus."""
-    cut = lambda c: F.array_distinct(F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), _GAP), ""))
+def learn_weights(docs: DataFrame, known: DataFrame, vocabulary: int = 50_000, prior: float = 200.0, min_z: float = 3.0, min_odds: float = 1.5, doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
+    """Log-odds of the tokens with the clearest difference; the prior's counts cover the whole corpus."""
     train = _training(docs, known, doc_id, text)
-    # a word counts once a document: repeats of it in one text say no more about the label
-    words = train.select("y", F.explode(cut(F.col("text"))).alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).filter("all > 1")
-    totals = known.agg(F.sum("y"), F.count(F.lit(1))).first()
-    if not totals[1] or not totals[0] or totals[0] == totals[1]:
+    # a token counts once a document: repeats of it in one text say no more about the label
+    counts = train.select("y", F.explode(text_tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).filter("all > 1")
+    n_bad, n_all = known.agg(F.sum("y"), F.count(F.lit(1))).first()
+    if not n_all or not n_bad or n_bad == n_all:
         return ToxicModel()
-    n1, n0 = float(totals[0]), float(totals[1] - totals[0])
-    # the words to look at more closely: those whose document shares differ most clearly
+    n1, n0 = float(n_bad), float(n_all - n_bad)
+    counts = materialise(counts, "counts")
+    clean_tokens = float(counts.agg(F.sum(F.col("all") - F.col("bad"))).first()[0] or 1)
+    # the tokens to look at more closely: those whose document shares differ most clearly
     share = F.col("all") / (n1 + n0)
     rough = F.abs(F.col("bad") / n1 - (F.col("all") - F.col("bad")) / n0) / F.sqrt(share * (1 / n1 + 1 / n0))
-    words = materialise(words.withColumn("rough", rough).orderBy(F.col("rough").desc(), "w").limit(2 * vocabulary).select("w", "bad", "all"), "words")
-    corpus = docs.select(F.explode(cut(F.col(text))).alias("w")).join(F.broadcast(words.select("w")), "w").groupBy("w").agg(F.count(F.lit(1)).alias("seen"))
-    counted = materialise(words.join(corpus, "w"), "counts")
-    n = float(docs.count())
-    # informative prior: pseudo-documents that hold a word as often as the corpus does
-    a = prior * F.col("seen") / n
+    words = materialise(counts.withColumn("rough", rough).orderBy(F.col("rough").desc(), "w").limit(2 * vocabulary).select("w", "bad", "all"), "words")
+    corpus = docs.select(F.explode(text_tokens(F.col(text))).alias("w")).join(F.broadcast(words.select("w")), "w").groupBy("w").agg(F.count(F.lit(1)).alias("seen"))
+    counted = materialise(words.join(corpus, "w"), "seen")
+    # informative prior: pseudo-documents that hold a token as often as the corpus does
+    a = prior * F.col("seen") / float(docs.count()) + 0.01
     y1, y0 = F.col("bad") + a, F.col("all") - F.col("bad") + a
-    odds = F.log(y1 / (n1 + prior - y1)) - F.log(y0 / (n0 + prior - y0))
-    scored = counted.select("w", "all", "bad", odds.alias("d"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).filter(F.abs("z") >= min_z)
+    odds = F.log(y1 / (n1 + prior + 1 - y1)) - F.log(y0 / (n0 + prior + 1 - y0))
+    scored = counted.select("w", "all", "bad", odds.alias("d"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).filter((F.abs("z") >= min_z) & (F.abs("d") >= min_odds))
     chosen = scored.orderBy(F.abs("z").desc(), "w").limit(vocabulary).collect()  # at most ``vocabulary`` rows
-    model = ToxicModel()
-    share = np.array([(r["all"] - r["bad"]) / n0 for r in chosen])
     d = np.array([r["d"] for r in chosen])
-    d = np.clip(d, -3.0, 8.0)
-    # what all other words weigh keeps the mean under clean text below zero
-    rest = max(0.0, 1 - float(share.sum()))
-    mean = float((share * d).sum())
-    drift = max(0.02, 0.25 * float((share * np.maximum(d, 0)).sum()))
-    model.other = min(-0.02, -(mean + drift) / max(rest, 1e-6)) if rest > 0.05 else -0.05
-    shift = 0.0 if rest > 0.05 else mean + drift
-    model.weights = {r["w"]: float(x - shift) for r, x in zip(chosen, d, strict=True)}
-    all_scores, all_weight = np.append(d - shift, model.other), np.append(share, rest)
-    model.lam = moment_root(all_scores, all_weight / all_weight.sum()) if (all_scores > 0).any() else 1.0
+    p = np.array([r["all"] - r["bad"] for r in chosen]) / clean_tokens
+    rest = max(0.05, 1 - float(p.sum()))
+    # what all other words weigh keeps the mean of clean text well below zero
+    model = ToxicModel(weights={r["w"]: float(r["d"]) for r in chosen}, other=-max(0.15, 2 * float((p * np.maximum(d, 0)).sum()) / rest))
+    if (d > 0).any():
+        scores, weight = np.append(d, model.other), np.append(np.maximum(p, 0.5 / clean_tokens), rest)
+        model.lam = moment_root(scores, weight / weight.sum())
     return model
 
 
@@ -197,8 +215,9 @@ def score_rows(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text:
     """``doc_id, evidence, n_passages``."""
 
     def run(batches):
+        known = WordScores(model)
         for batch in batches:
-            found = [evidence(model, words_of(t.as_py())) for t in batch.column(1)]
+            found = [evidence(model, words_of(t.as_py()), known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(x) for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "evidence", "n_passages"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, evidence double, n_passages long")
@@ -208,11 +227,12 @@ def toxic_passages(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", t
     """``doc_id, first_word, end_word, excess, words``: every significant passage of every text."""
 
     def run(batches):
+        known = WordScores(model)
         for batch in batches:
             rows = []
             for id_, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(t.as_py())
-                rows += [(id_, a, b, x, " ".join(words[a:b])) for a, b, x in passages(model, words)]
+                rows += [(id_, a, b, x, " ".join(words[a:b])) for a, b, x in passages(model, words, known)]
             names = ["doc_id", "first_word", "end_word", "excess", "words"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
             if rows:
