@@ -6,13 +6,19 @@ word inserted, deleted or replaced turns one into the other. A line goes if any
 earlier line (by doc_id, then place) matches it; the rule is about the lines as
 they were read, so it doesn't depend on the order of work.
 
-The join: each distinct line emits its hash and those of all its one-word
-deletions. A line and a deletion that are equal are an insertion apart; two
-deletions that are equal, made at one place, are a replacement apart. Each line
-meets only the earliest line of every key, so a key's lines are never paired with
-each other, and the words of each such pair are then compared. Before that, lines
-that share no half of a variant with another line are left out: one edit leaves
-one half of the common variant as it is, so they match nothing.
+The join: each distinct line emits its hash and those of its one-word deletions. A
+line and a deletion that are equal are an insertion apart; two deletions that are
+equal, made at one place, are a replacement apart. Each line meets only the
+earliest line of every key, so a key's lines are never paired with each other, and
+the words of each such pair are then compared.
+
+Most lines match nothing. One edit leaves the first or the last ``a`` words as they
+are, a being about half of them; only lines that share such a half with a different
+line emit deletions, and only at the places outside the shared half. Of the
+deletions, only those whose hash comes up in different lines are joined. Both
+sets of shared hashes are broadcast while they have at most ``most_keys`` entries
+(8 bytes each); beyond that they aren't used, and all lines and deletions go
+through the joins: more work, the same result.
 
 Defined results: blank lines never match and stay where their text stays as it is;
 a text that loses every line becomes empty; null texts stay null; rows alike in
@@ -27,9 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import SPACES, materialise
+from vecscore.llm.common import SPACES, ascii_lower, materialise
 
-_LINE = "id long, dg long, pos int, h1 long, h2 long, nw int, keys array<long>"
 _BASE = 0x9E3779B97F4A7C15  # odd: the polynomial's base, modulo 2**64
 
 
@@ -37,14 +42,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def half_keys(words: list[bytes]) -> list[int]:
-    """Hashes of the halves that a line shares with every line one edit away, one of which stays as it is."""
-    n, out = len(words), []
-    for v in (n, n - 1):
-        a = v // 2
-        out.append(xxhash.xxh64_intdigest(b"%d<" % v + b" ".join(words[:a])))
-        out.append(xxhash.xxh64_intdigest(b"%d>" % v + b" ".join(words[n - (v - a) :])))
-    return [_signed(x) for x in out]
+def half_keys(words: list[bytes]) -> list[tuple[int, int, int]]:
+    """(hash, first, end) of the line's halves, and the places that an edit may have if the half is shared.
+
+    Lines one edit apart have the same ``a`` for at least one of their levels.
+    """
+    n = len(words)
+    out = []
+    for a in (4 * (n // 8), *([4 * (n // 8 - 1)] if n % 8 == 0 and n >= 16 else [])):
+        out.append((_signed(xxhash.xxh64_intdigest(b"%d<" % a + b" ".join(words[:a]))), a, n))
+        out.append((_signed(xxhash.xxh64_intdigest(b"%d>" % a + b" ".join(words[n - a :]))), 0, n - a))
+    return out
 
 
 def variants(words: list[bytes]) -> np.ndarray:
@@ -66,87 +74,141 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "_dg": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
 
 
-def _line_rows(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    def rows(batch):
-        ids, dgs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for id_, dg, value in zip(ids, dgs, batch.column(2), strict=True):
-            for pos, line in enumerate((value.as_py() or b"").split(b"\n")):
-                if words := line.lower().split():
-                    h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                    yield id_, dg, pos, _signed(h >> 64), _signed(h & (1 << 64) - 1), len(words), half_keys(words) if len(words) >= min_words else None
+def _batches(rows, schema: pa.Schema, size: int = 20_000):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _lines_of(batch):
+    """(id, dg, place, line, words) of each line with a word."""
+    for id_, dg, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for pos, line in enumerate((value.as_py() or b"").split(b"\n")):
+            if words := line.lower().split():
+                yield id_, dg, pos, line, words
+
+
+def line_hash(words: list[bytes]) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return _signed(h >> 64), _signed(h & (1 << 64) - 1)
+
+
+def _flat(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return _keyed(docs, doc_id, text).select("_id", "_dg", F.col(text).cast("binary"))
+
 
-    schema = pa.schema([("id", pa.int64()), ("dg", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("nw", pa.int32()), ("keys", pa.list_(pa.int64()))])
+def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per distinct line: ``h1, h2`` and ``first`` (id, dg, pos of its first place)."""
+    schema = pa.schema([("id", pa.int64()), ("dg", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            held = []
-            for row in rows(batch):
-                held.append(row)
-                if len(held) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            yield from _batches(((i, dg, pos, *line_hash(words)) for i, dg, pos, _, words in _lines_of(batch)), schema)
 
-    return _keyed(docs, doc_id, text).select("_id", "_dg", F.col(text).cast("binary")).mapInArrow(run, _LINE)
+    rows = _flat(docs, doc_id, text).mapInArrow(run, "id long, dg long, pos int, h1 long, h2 long")
+    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"))
 
 
-def line_classes(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct line: ``h1, h2, nw, keys, first`` (id, dg, pos of its first place) and ``n``."""
-    rows = _line_rows(docs, min_words, doc_id, text)
-    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"), F.first("nw").alias("nw"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
+def _shared(rows: DataFrame, most: int) -> np.ndarray | None:
+    """The keys of ``rows`` (k, h1) that different lines have, sorted; None if they are more than ``most``."""
+    keys = materialise(rows.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("k"), "shared_keys")
+    if keys.count() > most:
+        return None
+    return np.sort(keys.toArrow().column("k").to_numpy().astype(np.int64))
 
 
-def _with_words(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``wanted`` (h1, h2, first) with the words of each line, read where it first stands."""
-    places = wanted.select(F.col("first.id").alias("_id"), F.col("first.dg").alias("_dg"), F.struct(F.col("first.pos").alias("pos"), "h1", "h2").alias("x"))
-    by_doc = places.groupBy("_id", "_dg").agg(F.collect_list("x").alias("xs"))
-    read = _keyed(docs, doc_id, text).select("_id", "_dg", F.col(text).alias("_text")).join(by_doc, ["_id", "_dg"])
-    lines = read.select("_id", "_dg", F.split("_text", "\n").alias("_lines"), "xs")
-    out = lines.select("_id", "_dg", F.explode(F.transform("xs", lambda x: F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("_lines", x["pos"]).alias("line")))).alias("x"))
-    return out.select("x.h1", "x.h2", F.struct(F.col("_id").alias("id"), F.col("_dg").alias("dg"), F.col("x.pos").alias("pos")).alias("first"), F.col("x.line").alias("line")).dropDuplicates(["h1", "h2"])
+def _has(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(some), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, some), len(keys) - 1)] == some
 
 
-def _variant_rows(lines: DataFrame, min_words: int) -> DataFrame:
-    """``key, at, h1, h2, id, dg, pos``: at is -1 for the line itself, else the place of the deleted word."""
-    names = ["key", "at", "h1", "h2", "id", "dg", "pos"]
+def _half_rows(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    schema = pa.schema([("k", pa.int64()), ("h1", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(5)]
-            words = [t.as_py().lower().split() for t in batch.column(5)]
-            for begin in range(0, len(words), 256):
-                some = [variants(w) for w in words[begin : begin + 256]]
-                of = np.repeat(np.arange(begin, begin + len(some)), [len(x) for x in some])
-                at = np.concatenate([np.arange(len(x)) - 1 for x in some]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(at), *[pa.array(c[of]) for c in cols]], names=names)
+            yield from _batches(((k, line_hash(words)[0]) for *_, words in _lines_of(batch) if len(words) >= min_words for k, *_ in half_keys(words)), schema)
+
+    return _flat(docs, doc_id, text).mapInArrow(run, "k long, h1 long")
 
-    flat = lines.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.dg").alias("dg"), F.col("first.pos").alias("pos"), F.col("line").cast("binary"))
-    return flat.mapInArrow(run, "key long, at int, h1 long, h2 long, id long, dg long, pos int")
 
+def _maybe_lines(docs: DataFrame, halves: np.ndarray | None, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """``h1, h2, first, line, places`` of the distinct lines that share a half; places are [first, end) of possible edits."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("dg", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("line", pa.binary())])
+    given = None if halves is None else docs.sparkSession.sparkContext.broadcast(halves)
 
-def near_matches(docs: DataFrame, classes: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows = [x for x in _lines_of(batch) if len(x[4]) >= min_words]
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                if given is None:
+                    out = ((*line_hash(w), i, dg, pos, 0, len(w), line) for i, dg, pos, line, w in part)
+                else:
+                    keys = [half_keys(w) for *_, w in part]
+                    hit = iter(_has(given.value, np.fromiter((k for x in keys for k, *_ in x), dtype=np.int64)).tolist())
+                    found = [[(a, b) for _, a, b in x if next(hit)] for x in keys]
+                    out = ((*line_hash(w), i, dg, pos, min(a for a, _ in f), max(b for _, b in f), line) for (i, dg, pos, line, w), f in zip(part, found, strict=True) if f)
+                yield from _batches(out, schema)
+
+    rows = _flat(docs, doc_id, text).mapInArrow(run, "h1 long, h2 long, id long, dg long, pos int, low int, high int, line binary")
+    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("line").alias("line"))
+
+
+def _variant_rows(lines: DataFrame, keep: np.ndarray | None) -> DataFrame:
+    """``k, at, h1, h2, id, dg, pos``: at is -1 for the line itself, else the place of the deleted word; of the keys in ``keep``."""
+    names = ["k", "at", "h1", "h2", "id", "dg", "pos"]
+    given = None if keep is None else lines.sparkSession.sparkContext.broadcast(keep)
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(5)]
+            low, high = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            for begin in range(0, batch.num_rows, 256):
+                keys, at = [], []
+                for i in range(begin, min(batch.num_rows, begin + 256)):
+                    all_ = variants(batch.column(7)[i].as_py().lower().split())
+                    keys.append(np.append(all_[:1], all_[1 + low[i] : 1 + high[i]]))
+                    at.append(np.append([-1], np.arange(low[i], high[i])))
+                of = np.repeat(np.arange(begin, begin + len(keys)), [len(x) for x in keys])
+                k, at = np.concatenate(keys), np.concatenate(at).astype(np.int32)
+                if given is not None:
+                    ok = _has(given.value, k)
+                    k, at, of = k[ok], at[ok], of[ok]
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), *[pa.array(c[of]) for c in cols]], names=names)
+
+    flat = lines.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.dg").alias("dg"), F.col("first.pos").alias("pos"), "low", "high", "line")
+    return flat.mapInArrow(run, "k long, at int, h1 long, h2 long, id long, dg long, pos int")
+
+
+def near_matches(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``h1, h2`` of the distinct lines that an earlier line matches by one edit."""
-    halves = classes.filter("keys IS NOT NULL").select("h1", "h2", "first", F.explode(F.array_distinct("keys")).alias("k"))
-    shared = halves.groupBy("k").count().filter("count > 1").select("k")
-    maybe = halves.join(shared, "k").select("h1", "h2", "first").distinct()
-    lines = materialise(_with_words(docs, maybe, doc_id, text), "lines")
-    rows = materialise(_variant_rows(lines, min_words), "variants")
+    halves = _shared(_half_rows(docs, min_words, doc_id, text), most_keys)
+    lines = materialise(_maybe_lines(docs, halves, min_words, doc_id, text), "lines")
+    keep = _shared(_variant_rows(lines, None).select("k", "h1"), most_keys)
+    rows = materialise(_variant_rows(lines, keep), "variants")
     order = F.struct("id", "dg", "pos")
     # a replacement: the earliest line of each (deletion, place)
     deleted = rows.filter("at >= 0")
-    earliest = deleted.groupBy("key", "at").agg(F.min(F.struct("id", "dg", "pos", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "at", "e")
-    replaced = deleted.join(earliest, ["key", "at"]).filter(order > F.struct("e.id", "e.dg", "e.pos")).select("h1", "h2", "at", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("at").alias("e_at"))
+    earliest = deleted.groupBy("k", "at").agg(F.min(F.struct("id", "dg", "pos", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "at", "e")
+    replaced = deleted.join(earliest, ["k", "at"]).filter(order > F.struct("e.id", "e.dg", "e.pos")).select("h1", "h2", "at", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("at").alias("e_at"))
     # an insertion: the one line equal to a deletion of the others
-    whole = rows.filter("at < 0").select("key", F.struct("id", "dg", "pos", "h1", "h2").alias("w"))
-    inserted = deleted.join(whole, "key")
+    whole = rows.filter("at < 0").select("k", F.struct("id", "dg", "pos", "h1", "h2").alias("w"))
+    inserted = deleted.join(whole, "k")
     later = F.struct("id", "dg", "pos") > F.struct("w.id", "w.dg", "w.pos")
     inserted = inserted.select(
         F.when(later, F.col("h1")).otherwise(F.col("w.h1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("w.h2")).alias("h2"), F.when(later, F.col("at")).otherwise(F.lit(-1)).alias("at"),
         F.when(later, F.col("w.h1")).otherwise(F.col("h1")).alias("e1"), F.when(later, F.col("w.h2")).otherwise(F.col("h2")).alias("e2"), F.when(later, F.lit(-1)).otherwise(F.col("at")).alias("e_at"))
     pairs = replaced.unionByName(inserted).distinct()
     # the hashes proposed the pairs; the words decide
-    words = lines.select("h1", "h2", F.split(F.btrim(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("w"))
+    words = lines.select("h1", "h2", F.split(F.btrim(ascii_lower(F.col("line").cast("string")), F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("w"))
     pairs = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("w").alias("e_w")), ["e1", "e2"])
 
     def without(w: str, at: str) -> str:
@@ -155,10 +217,10 @@ def near_matches(docs: DataFrame, classes: DataFrame, min_words: int = 8, doc_id
     return pairs.filter(F.expr(f"{without('w', 'at')} = {without('e_w', 'e_at')}")).filter(F.least(F.size("w"), F.size("e_w")) >= min_words).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the kept lines in ``text``, and ``n_lines``, ``n_removed`` (lines with a word)."""
-    classes = materialise(line_classes(docs, min_words, doc_id, text), "line_classes")
-    near = materialise(near_matches(docs, classes, min_words, doc_id, text), "near_lines")
+    classes = line_classes(docs, doc_id, text)
+    near = materialise(near_matches(docs, max(8, min_words), most_keys, doc_id, text), "near_lines")
     stay = classes.join(near, ["h1", "h2"], "left_anti")
     places = stay.groupBy(F.col("first.id").alias("_id"), F.col("first.dg").alias("_dg")).agg(F.collect_list("first.pos").alias("_kept"))
     out = _keyed(docs, doc_id, text).join(places, ["_id", "_dg"], "left")
