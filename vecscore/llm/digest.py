@@ -18,6 +18,7 @@ import unicodedata
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,91 +46,143 @@ def text_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string" + ", canon binary" * with_bytes)
 
 
-def exact_groups(docs: DataFrame, marked: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fingerprint, class_id, copies, suffix``: one row per distinct canonical text that several rows share.
+def _ranges(ids: DataFrame, target_rows: int) -> list[int]:
+    """Lower bounds that cut the ids into ranges of about ``target_rows`` rows; they only set how even the ranges are."""
+    n = ids.count()
+    ranges = min(8192, max(1, -(-n // target_rows)))  # more rows than that make wider ranges, which are streamed
+    if ranges == 1:
+        return []
+    return sorted({int(c) for c in ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)})
 
-    ``marked`` may hold the fingerprints of ``docs``, from an earlier pass. Only
-    rows whose fingerprint comes up more than once are read again for their bytes.
-    """
-    marked = text_fingerprints(docs, doc_id, text) if marked is None else marked
-    shared = materialise(marked.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "shared")
-    again = text_fingerprints(docs, doc_id, text, with_bytes=True).join(shared, "fingerprint")
-    groups = materialise(again.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")).select("fingerprint", F.sha2("canon", 256).alias("sha"), "class_id", "copies"), "groups")
-    mixed = groups.groupBy("fingerprint").count().filter("count > 1").select("fingerprint", F.lit(True).alias("mixed"))
-    return groups.join(mixed, "fingerprint", "left").select("fingerprint", "class_id", "copies", F.when(F.col("mixed"), F.substring("sha", 1, 32)).alias("suffix"))
+
+def _range_of(cuts: list[int]):
+    """Column: how many of the cuts doc_id reaches; in two steps, so that a row isn't compared with every cut."""
+    step = 32
+    coarse = F.array(*[F.lit(c) for c in cuts[::step]]).cast("array<bigint>")
+    blocks = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]).cast("array<bigint>") for i in range(0, len(cuts), step)])
+    k = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))) - 1
+    fine = k * step + F.size(F.filter(F.get(blocks, k), lambda c: c <= F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull() | (k < 0), 0).otherwise(fine).cast("int") if cuts else F.lit(0)
+
+
+def _zipped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, h, zip``: texts packed for the shuffle, and a hash that orders rows of one id."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            raw = [t.as_py() or b"" for t in batch.column(1)]
+            h = [xxhash.xxh64_intdigest(x) >> 1 for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array([squeeze(x) for x in raw], pa.binary())], names=["doc_id", "h", "zip"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, h long, zip binary")
 
 
-def next_rows(docs: DataFrame, cuts: list[int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` dealt into ranges of doc_id, each followed by the first row of the next range.
+def _dealt(docs: DataFrame, marked: DataFrame, cuts: list[int], doc_id: str, text: str) -> DataFrame:
+    """Rows in ranges of doc_id, each range in order and followed by the first row of the next one.
 
-    ``cuts`` are the ranges' lower bounds after the first; they only set how even
-    the ranges are. Columns: ``range, tail, doc_id, h, text``; tail marks the row that is the next range's.
+    ``range, tail, doc_id, h, shared, zip``; tail marks the next range's row, shared
+    is whether the row's fingerprint comes up again.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    place = F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))) if len(cuts) <= 64 else F.expr("0")
-    if len(cuts) > 64:  # two levels, so that a row isn't compared with every bound
-        step = 32
-        coarse = F.array(*[F.lit(c) for c in cuts[::step]])
-        blocks = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-        k = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))) - 1
-        place = F.when(k < 0, 0).otherwise(k * step + F.size(F.filter(F.get(blocks, k), lambda c: c <= F.col("doc_id"))))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place).cast("int"))
-    first = rows.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("f"))
-    firsts = sorted((r["range"], r["f"]["doc_id"], r["f"]["h"]) for r in first.collect())  # a row per range
+    rows = marked.withColumn("range", _range_of(cuts))
+    firsts = sorted((r["range"], r["f"]["doc_id"], r["f"]["h"]) for r in rows.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect())  # a row per range
+    zipped = _zipped(docs, doc_id, text).withColumn("range", _range_of(cuts))
     if not firsts:
-        return rows.select("range", F.lit(False).alias("tail"), "doc_id", "h", "text")
+        return zipped.select("range", F.lit(0).alias("kind"), "doc_id", "h", "zip")
     given = [F.struct(F.lit(r).alias("range"), F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h"), F.lit(firsts[k - 1][0]).alias("before")) for k, (r, i, h) in enumerate(firsts)]
-    before = F.get(F.filter(F.array(*given), lambda x: (x["range"] == F.col("range")) & x["i"].eqNullSafe(F.col("doc_id")) & (x["h"] == F.col("h"))), F.lit(0))["before"]
-    rows = rows.withColumn("before", before)
-    places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("tail")), F.struct(F.col("before").alias("range"), F.lit(True).alias("tail"))))
-    dealt = rows.select("doc_id", "h", "text", F.explode(places).alias("p")).select("p.range", "p.tail", "doc_id", "h", "text")
-    tasks = max(len(cuts) + 1, 1)
-    return dealt.repartition(tasks, "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "h")
+    # first rows by their range; the range's entry says whose tail its first row is
+    own = F.get(F.filter(F.array(*given), lambda x: x["range"] == F.col("range")), F.lit(0)) if len(firsts) <= 64 else F.get(F.array(*[g for g in _by_range(given, firsts)]), F.col("range"))
+    zipped = zipped.withColumn("own", own)
+    is_first = F.col("own.i").eqNullSafe(F.col("doc_id")) & (F.col("own.h") == F.col("h"))
+    here = F.struct(F.col("range").alias("range"), F.lit(1).alias("kind"))
+    places = F.when(is_first, F.array(here, F.struct(F.col("own.before").alias("range"), F.lit(2).alias("kind")))).otherwise(F.array(here))
+    dealt = zipped.select("doc_id", "h", "zip", F.explode(places).alias("p")).select("p.range", "p.kind", "doc_id", "h", "zip")
+    flags = rows.filter("shared").select("range", F.lit(0).alias("kind"), "doc_id", "h", F.lit(None).cast("binary").alias("zip"))
+    return dealt.unionByName(flags).repartition(len(firsts), "range").sortWithinPartitions("range", F.expr("kind = 2"), F.col("doc_id").asc_nulls_first(), "h", "kind")
 
 
-def edited_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document, its edited text and the next document by ascending doc_id (the first after the last).
+def _by_range(given: list, firsts: list[tuple]) -> list:
+    """The structs at the places of their ranges, so that a range finds its own without a search."""
+    at = {r: g for g, (r, *_) in zip(given, firsts, strict=True)}
+    return [at.get(r, given[0]) for r in range(max(at) + 1)]
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+
+def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document, its edited text, the next document by ascending doc_id (the first after the last), and its exact class.
+
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id, copies``.
     The edited text's last half of code points is replaced by as many of the next
-    document's first. Likeness of exact fingerprints is 1 if the canonical bytes are equal, else 0.
+    document's first. Likeness of exact fingerprints is 1 if the canonical bytes are
+    equal, else 0. Texts are shuffled once, packed; where a fingerprint comes up
+    again, the bytes behind it are compared.
     """
-    n = docs.count()
-    ranges = min(8192, max(1, -(-n // target_rows)))  # more rows than that make wider ranges, which are streamed
-    cuts = sorted({int(c) for c in docs.approxQuantile(doc_id, [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
+    marked = materialise(_marked(docs, doc_id, text), "fingerprints")
+    again = materialise(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "again")
+    flagged = materialise(marked.join(again.withColumn("shared", F.lit(True)), "fingerprint", "left").select("doc_id", "h", F.coalesce("shared", F.lit(False)).alias("shared")), "flags")
+    cuts = _ranges(marked.select("doc_id"), target_rows)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("zip", pa.binary())])
 
     def run(batches):
-        held = None  # (range, doc_id, text, canonical bytes) of the row whose next row isn't known yet
-        out: list[tuple] = []
+        packer, opener = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        held, flag = None, None  # the row whose next row isn't known yet; the last row whose bytes are asked for
         for batch in batches:
-            for range_, tail, id_, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                text_ = value.as_py()
-                canon = canonical(text_)
+            out = []
+            for range_, kind, id_, h, value in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
+                if kind == 0:
+                    flag = (id_, h)
+                    continue
+                value = opener(value.as_py()).decode("utf-8", "surrogatepass")
+                canon = canonical(value)
                 if held is not None and held[0] == range_:
-                    _, was, old, old_canon = held
+                    _, was, old, old_canon, asked = held
                     half = len(old) // 2
-                    edited = old[: len(old) - half] + text_[:half]
+                    edited = old[: len(old) - half] + value[:half]
                     edited_canon = canonical(edited)
-                    out.append((was, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(old_canon), digest(edited_canon), float(old_canon == edited_canon), float(old_canon == canon)))
-                held = None if tail else (range_, id_, text_, canon)
+                    out.append((was, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(old_canon), digest(edited_canon), float(old_canon == edited_canon), float(old_canon == canon), packer(old_canon) if asked else None))
+                asked = (id_, h) == flag
+                held = None if kind == 2 else (range_, id_, value, canon, asked)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    dealt = next_rows(docs, cuts, doc_id, text).select("range", "tail", "doc_id", "text")
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """:func:`edited_fingerprints` with the exact class of each document: ``class_id, copies``."""
-    rows = materialise(edited_fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
-    groups = exact_groups(docs, rows.select("doc_id", "fingerprint"), doc_id, text)
-    collided = groups.filter("suffix IS NOT NULL")
-    plain = groups.filter("suffix IS NULL").select("fingerprint", "class_id", "copies")
-    out = rows.join(plain, "fingerprint", "left")
-    if not collided.isEmpty():  # different texts of one 128-bit hash: name them by their bytes
-        raise ValueError("different texts share a 128-bit fingerprint; use exact_groups and its suffixes")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+    rows = _dealt(docs, flagged, cuts, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, zip binary")
+    rows = materialise(rows, "rows")
+    groups = byte_groups(rows.filter("zip IS NOT NULL").select("doc_id", "fingerprint", F.col("zip").alias("canon")))
+    # a bucket of different texts: practically never; its rows are told apart by their bytes
+    named = F.when(F.col("suffix").isNull(), F.col("fingerprint")).otherwise(F.concat("fingerprint", F.lit("-"), "suffix"))
+    rows = rows.withColumn("sha", F.when(F.col("zip").isNotNull(), F.sha2("zip", 256)))
+    out = rows.join(groups, ["fingerprint", "sha"], "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", named.alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, h, fingerprint`` (16 bytes)."""
+
+    def run(batches):
+        for batch in batches:
+            raw = [t.as_py() or b"" for t in batch.column(1)]
+            h = [xxhash.xxh64_intdigest(x) >> 1 for x in raw]
+            found = [xxhash.xxh3_128_digest(canonical(x.decode("utf-8", "surrogatepass"))) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "h", "fingerprint"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, h long, fingerprint binary")
+
+
+def byte_groups(rows: DataFrame) -> DataFrame:
+    """``fingerprint, sha, class_id, copies, suffix`` of each text in ``rows`` (doc_id, fingerprint, canon).
+
+    Rows are grouped by the fingerprint and the bytes themselves, so unequal bytes
+    never meet; copies are combined before they are shuffled. suffix is set where
+    one fingerprint stands for different bytes.
+    """
+    groups = rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    groups = materialise(groups.select("fingerprint", F.sha2("canon", 256).alias("sha"), "class_id", "copies"), "groups")
+    mixed = groups.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint", F.lit(True).alias("mixed"))
+    return groups.join(mixed, "fingerprint", "left").select("fingerprint", "sha", "class_id", "copies", F.when(F.col("mixed"), F.substring("sha", 1, 32)).alias("suffix"))
+
+
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, class_id, copies`` of each row: its exact class, by fingerprint and bytes."""
+    rows = text_fingerprints(docs, doc_id, text, with_bytes=True)
+    groups = byte_groups(rows)
+    named = F.when(F.col("suffix").isNull(), F.col("fingerprint")).otherwise(F.concat("fingerprint", F.lit("-"), "suffix"))
+    return rows.select("doc_id", "fingerprint", F.sha2("canon", 256).alias("sha")).join(groups, ["fingerprint", "sha"]).select("doc_id", named.alias("fingerprint"), "class_id", "copies")
