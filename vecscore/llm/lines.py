@@ -27,6 +27,8 @@ doc_id and text are one document and lose like lines; other columns are kept.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -74,7 +76,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "_dg": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
 
 
-def _batches(rows, schema: pa.Schema, size: int = 20_000):
+def _batches(rows, schema: pa.Schema, size: int = 8192):
     held = []
     for row in rows:
         held.append(row)
@@ -145,9 +147,8 @@ def _maybe_lines(docs: DataFrame, halves: np.ndarray | None, min_words: int, doc
 
     def run(batches):
         for batch in batches:
-            rows = [x for x in _lines_of(batch) if len(x[4]) >= min_words]
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
+            rows = (x for x in _lines_of(batch) if len(x[4]) >= min_words)
+            while part := list(islice(rows, 4096)):  # a batch's lines as lists of words would be many times its size
                 if given is None:
                     out = ((*line_hash(w), i, dg, pos, 0, len(w), line) for i, dg, pos, line, w in part)
                 else:
