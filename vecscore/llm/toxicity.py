@@ -25,7 +25,6 @@ without labelled rows of both kinds every score is 0.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,9 +34,9 @@ from pyspark.sql import functions as F
 
 from vecscore.llm.common import ascii_lower, materialise
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_TABLE = {c: c + 32 for c in range(65, 91)}
+#: Of UTF-8 bytes: A to Z become a to z, what lies between words becomes a blank.
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BINS = 2048
 #: Lengths of the word beginnings that are tokens too: inflected and compound forms share them.
 STEMS = (5, 7)
@@ -92,27 +91,42 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - lft) for a, b, lft, r, _ in segments]
 
 
-class WordScores(dict):
-    """The score of each word: the largest of its own weight and those of its beginnings, found once per word."""
+def begun(word: bytes) -> list[str]:
+    """The tokens of a word: itself and its marked beginnings."""
+    text = word.decode("utf-8", "replace")
+    return [text, *(text[:n] + "*" for n in STEMS if len(text) > n)]
 
-    def __init__(self, model: ToxicModel):
+
+class WordCache(dict):
+    """What is known of each word, found once while the cache has room."""
+
+    def __init__(self, find, room: int = 200_000):
         super().__init__()
-        self.weights, self.other = model.weights, model.other
+        self.find, self.room = find, room
+
+    def __missing__(self, word: bytes):
+        found = self.find(word)
+        if len(self) < self.room:
+            self[word] = found
+        return found
+
+
+def word_scores(model: ToxicModel) -> WordCache:
+    """The score of a word: the largest of its own weight and those of its beginnings."""
+    get, other = model.weights.get, model.other
+
+    def find(word: bytes) -> float:
+        known = [x for x in map(get, begun(word)) if x is not None]
+        return max(known, default=other)
 
-    def __missing__(self, word: str) -> float:
-        get = self.weights.get
-        known = [x for x in (get(word), *(get(word[:n] + "*") for n in STEMS if len(word) > n)) if x is not None]
-        score = max(known, default=self.other)
-        if len(self) < 1_000_000:
-            self[word] = score
-        return score
+    return WordCache(find)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_TABLE))
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.translate(_TABLE).split() if text else []
 
 
-def passages(model: ToxicModel, words: list[str], known: WordScores) -> list[tuple[int, int, float]]:
+def passages(model: ToxicModel, words: list[bytes], known: WordCache) -> list[tuple[int, int, float]]:
     """Significant segments: (first word, end, log-likelihood beyond chance)."""
     if not words:
         return []
@@ -122,7 +136,7 @@ def passages(model: ToxicModel, words: list[str], known: WordScores) -> list[tup
     return [(a, b, x) for a, b, x in found if x >= -math.log(model.expect)]
 
 
-def evidence(model: ToxicModel, words: list[str], known: WordScores) -> tuple[float, int]:
+def evidence(model: ToxicModel, words: list[bytes], known: WordCache) -> tuple[float, int]:
     """Sum over significant segments, or the best one's if none is; and how many are significant."""
     if not words:
         return model.low, 0
@@ -192,7 +206,7 @@ def learn_weights(docs: DataFrame, known: DataFrame, vocabulary: int = 50_000, p
     share = F.col("all") / (n1 + n0)
     rough = F.abs(F.col("bad") / n1 - (F.col("all") - F.col("bad")) / n0) / F.sqrt(share * (1 / n1 + 1 / n0))
     words = materialise(counts.withColumn("rough", rough).orderBy(F.col("rough").desc(), "w").limit(2 * vocabulary).select("w", "bad", "all"), "words")
-    corpus = docs.select(F.explode(text_tokens(F.col(text))).alias("w")).join(F.broadcast(words.select("w")), "w").groupBy("w").agg(F.count(F.lit(1)).alias("seen"))
+    corpus = documents_with(docs, [r["w"] for r in words.select("w").collect()], text)  # at most 2 * ``vocabulary`` tokens
     counted = materialise(words.join(corpus, "w"), "seen")
     # informative prior: pseudo-documents that hold a token as often as the corpus does
     a = prior * F.col("seen") / float(docs.count()) + 0.01
@@ -211,34 +225,54 @@ def learn_weights(docs: DataFrame, known: DataFrame, vocabulary: int = 50_000, p
     return model
 
 
+def documents_with(docs: DataFrame, tokens: list[str], text: str = "text") -> DataFrame:
+    """``w, seen``: in how many documents each of the given tokens stands, over all of ``docs``."""
+
+    def run(batches):
+        place = {w: k for k, w in enumerate(tokens)}
+        known = WordCache(lambda word: tuple(place[t] for t in begun(word) if t in place))
+        seen = np.zeros(len(tokens), dtype=np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                held = set()
+                for word in set(words_of(t.as_py())):
+                    held.update(known[word])
+                seen[list(held)] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([tokens[k] for k in some], pa.string()), pa.array(seen[some])], names=["w", "seen"])
+
+    counted = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "w string, seen long")
+    return counted.groupBy("w").agg(F.sum("seen").alias("seen"))
+
+
 def score_rows(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, evidence, n_passages``."""
 
     def run(batches):
-        known = WordScores(model)
+        known = word_scores(model)
         for batch in batches:
             found = [evidence(model, words_of(t.as_py()), known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(x) for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "evidence", "n_passages"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, evidence double, n_passages long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, evidence double, n_passages long")
 
 
 def toxic_passages(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, first_word, end_word, excess, words``: every significant passage of every text."""
 
     def run(batches):
-        known = WordScores(model)
+        known = word_scores(model)
         for batch in batches:
             rows = []
             for id_, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(t.as_py())
-                rows += [(id_, a, b, x, " ".join(words[a:b])) for a, b, x in passages(model, words, known)]
+                rows += [(id_, a, b, x, b" ".join(words[a:b]).decode("utf-8", "replace")) for a, b, x in passages(model, words, known)]
             names = ["doc_id", "first_word", "end_word", "excess", "words"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, first_word long, end_word long, excess double, words string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, first_word long, end_word long, excess double, words string")
 
 
 def fit_chance(train: DataFrame, model: ToxicModel) -> ToxicModel:
