@@ -173,8 +173,11 @@ def isotonic(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
 def text_tokens(text) -> Column:
     """The distinct tokens of a text: its words, and the beginnings of longer words, marked by a star."""
     words = F.array_distinct(F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), ""))
-    begun = [F.transform(F.filter(words, lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(words, *begun))
+
+    def stems(n: int):
+        return F.transform(F.filter(words, lambda w: F.char_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *[stems(n) for n in STEMS]))
 
 
 def known_labels(labels: DataFrame, bound: int = 200_000, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
