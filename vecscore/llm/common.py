@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import os
-import sys
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Python functions go to the executors with their code: the package needn't be installed there.
-cloudpickle.register_pickle_by_value(sys.modules["vecscore"])
 
 #: The white space of the word contracts: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -70,12 +66,15 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores before it while the frame has such a column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as ``row``, with only the named columns beside it: no column of ``docs`` can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, those named replaced, and others added."""
+    own = [columns[c].alias(c) if c in columns else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return df.select(*own, *[c.alias(n) for n, c in columns.items() if n not in docs.columns])
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

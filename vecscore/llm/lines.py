@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import SPACES, ascii_lower, materialise
+from vecscore.llm.common import SPACES, ascii_lower, boxed, materialise, unboxed
 
 _BASE = 0x9E3779B97F4A7C15  # odd: the polynomial's base, modulo 2**64
 
@@ -72,10 +72,6 @@ def variants(words: list[bytes]) -> np.ndarray:
         return np.concatenate([head_all[-1:] + np.uint64(n), deleted + np.uint64(n - 1)]).view(np.int64)
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "_dg": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-
-
 def _batches(rows, schema: pa.Schema, size: int = 8192):
     held = []
     for row in rows:
@@ -101,7 +97,7 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
 
 
 def _flat(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return _keyed(docs, doc_id, text).select("_id", "_dg", F.col(text).cast("binary"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dg"), F.col(text).cast("binary").alias("text"))
 
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,13 +219,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000,
     classes = line_classes(docs, doc_id, text)
     near = materialise(near_matches(docs, max(8, min_words), most_keys, doc_id, text), "near_lines")
     stay = classes.join(near, ["h1", "h2"], "left_anti")
-    places = stay.groupBy(F.col("first.id").alias("_id"), F.col("first.dg").alias("_dg")).agg(F.collect_list("first.pos").alias("_kept"))
-    out = _keyed(docs, doc_id, text).join(places, ["_id", "_dg"], "left")
-    out = out.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    out = out.withColumn("_blank", F.expr("filter(transform(_lines, (x, i) -> IF(btrim(x, ' \\t\\n\\u000b\\f\\r') = '', i, -1)), i -> i >= 0)"))
-    out = out.withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
-    n_lines, kept = F.size("_lines") - F.size("_blank"), F.size("_kept")
-    rebuilt = F.expr("array_join(transform(array_sort(concat(_kept, _blank)), i -> _lines[i]), '\\n')")
-    cleaned = F.when(F.col(text).isNull() | (n_lines == kept), F.col(text)).when(kept == 0, F.lit("")).otherwise(rebuilt)
-    out = out.withColumns({"n_lines": n_lines.cast("long"), "n_removed": (n_lines - kept).cast("long")}).withColumn(text, cleaned)
-    return out.drop("_id", "_dg", "_kept", "_lines", "_blank")
+    places = stay.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list("first.pos").alias("kept"))
+    own = F.col(text)
+    out = boxed(docs, id=F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), dg=F.xxhash64(F.coalesce(own, F.lit(""))), text=own).join(places, ["id", "dg"], "left")
+    out = out.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    out = out.withColumn("blank", F.expr("filter(transform(lines, (x, i) -> IF(btrim(x, ' \\t\\n\\u000b\\f\\r') = '', i, -1)), i -> i >= 0)"))
+    out = out.withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+    n_lines, kept = F.size("lines") - F.size("blank"), F.size("kept")
+    rebuilt = F.expr("array_join(transform(array_sort(concat(kept, blank)), i -> lines[i]), '\\n')")
+    cleaned = F.when(F.col("text").isNull() | (n_lines == kept), F.col("text")).when(kept == 0, F.lit("")).otherwise(rebuilt)
+    return unboxed(out, docs, **{text: cleaned, "n_lines": n_lines.cast("long"), "n_removed": (n_lines - kept).cast("long")})

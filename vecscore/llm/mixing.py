@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecscore.llm.common import count_words, materialise
+from vecscore.llm.common import boxed, count_words, materialise, unboxed
 
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -160,9 +160,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    copies = mixed.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("h").alias("_h"), "copies").groupBy("_id", "_h").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id), F.lit(-1)), "_h": F.xxhash64(F.col(doc_id), F.col(text))})
-    joined = keyed.join(copies, ["_id", "_h"])
+    copies = mixed.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "h", "copies").groupBy("id", "h").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    joined = boxed(docs, id=F.coalesce(F.col(doc_id), F.lit(-1)), h=F.xxhash64(F.col(doc_id), F.col(text))).join(copies, ["id", "h"])
     # rows alike in id and text share their copies; nearly always there is one such row
-    each = F.when(F.col("_rows") == 1, F.col("_sum")).otherwise(F.ceil(F.col("_sum") / F.col("_rows"))).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each))).drop("_id", "_h", "_sum", "_rows", "_copy")
+    each = F.when(F.col("rows") == 1, F.col("sum")).otherwise(F.ceil(F.col("sum") / F.col("rows"))).cast("int")
+    return unboxed(joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), each))), docs)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import SPACES, materialise, space_words
+from vecscore.llm.common import SPACES, boxed, materialise, space_words, unboxed
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -65,19 +65,20 @@ def normal_line(line: Column) -> Column:
     return F.btrim(F.regexp_replace(single, "[0-9]+", "0"), F.lit(" "))
 
 
+def _host(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit(""))
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """``_id``, ``_host``, ``_text`` and ``_digest``: rows alike in these have like lines removed."""
-    return docs.withColumns({
-        "_id": F.coalesce(F.col(doc_id), F.lit(-1)),
-        "_host": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")),
-        "_text": F.coalesce(F.col(text), F.lit("")),
-        "_digest": F.md5(F.coalesce(F.col(text), F.lit(""))),
-    })
+    """``doc_id, text, _id, _host, _digest``: rows alike in the last three have like lines removed."""
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id), F.lit(-1)).alias("_id"), _host(F.col(host)).alias("_host"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_digest"),
+    )
 
 
 def _line_rows(keyed: DataFrame) -> DataFrame:
     """One row per non-blank line: its place, 128-bit hash and words."""
-    lines = keyed.select("_id", "_host", "_digest", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
+    lines = keyed.select("_id", "_host", "_digest", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("_pos", "_line"))
     lines = lines.withColumn("_norm", normal_line(F.col("_line"))).filter(F.col("_norm") != "")
     return lines.select("_id", "_host", "_digest", "_pos", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit("line"), "_norm").alias("_h2"), (F.octet_length("_norm") - F.octet_length(F.replace("_norm", F.lit(" "), F.lit(""))) + 1).alias("_nw"))
 
@@ -107,8 +108,7 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: st
     over = materialise(frequent_lines(docs, limits, doc_id, text, host), "frequent_lines")
     hits = _line_rows(_keyed(docs, doc_id, text, host)).join(over, ["_host", "_h1", "_h2"])
     removed = hits.select(*_KEY, "_pos", "_nw").distinct().groupBy(*_KEY).agg(F.sum("_nw").alias("removed_words"), F.array_sort(F.collect_list("_pos")).alias("removed_lines"))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
-    features = document_features(_keyed(narrow, "doc_id", "text", "host"))
+    features = document_features(_keyed(docs, doc_id, text, host))
     features = materialise(features.select("doc_id", *_KEY, *FEATURES, "base_failed"), "features")
     out = features.join(removed, _KEY, "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
@@ -119,7 +119,8 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: st
 
 def without_frequent_lines(docs: DataFrame, ruled: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, their frequent lines taken out of ``text``."""
-    kept = ruled.filter("kept").select(*_KEY, F.col("removed_lines").alias("_gone")).dropDuplicates(_KEY)
-    joined = _keyed(docs, doc_id, text, host).drop("_text").join(kept, _KEY)
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return joined.withColumn(text, cleaned).drop(*_KEY, "_gone")
+    kept = ruled.filter("kept").select(*_KEY, F.col("removed_lines").alias("gone")).dropDuplicates(_KEY)
+    own = {"_id": F.coalesce(F.col(doc_id), F.lit(-1)), "_host": _host(F.col(host)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))}
+    joined = boxed(docs, text=F.col(text), **own).join(kept, _KEY)
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    return unboxed(joined, docs, **{text: cleaned})
