@@ -98,7 +98,7 @@ def _dealt(docs: DataFrame, marked: DataFrame, cuts: list[int], doc_id: str, tex
     places = F.when(is_first, F.array(here, F.struct(F.col("own.before").alias("range"), F.lit(2).alias("kind")))).otherwise(F.array(here))
     dealt = zipped.select("doc_id", "h", "zip", F.explode(places).alias("p")).select("p.range", "p.kind", "doc_id", "h", "zip")
     flags = rows.filter("shared").select("range", F.lit(0).alias("kind"), "doc_id", "h", F.lit(None).cast("binary").alias("zip"))
-    return dealt.unionByName(flags).repartition(len(firsts), "range").sortWithinPartitions("range", F.expr("kind = 2"), F.col("doc_id").asc_nulls_first(), "h", "kind")
+    return dealt.unionByName(flags).repartitionById(max(r for r, *_ in firsts) + 1, F.col("range")).sortWithinPartitions("range", F.expr("kind = 2"), F.col("doc_id").asc_nulls_first(), "h", "kind")
 
 
 def _by_range(given: list, firsts: list[tuple]) -> list:

@@ -109,36 +109,40 @@ def patterns(classes: int, parts: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 384) -> np.ndarray:
     """x >= 0 with the least |a x - b|: an active set grown by the steepest column, as of Lawson and Hanson."""
     n = a.shape[1]
-    x, used = np.zeros(n), np.zeros(n, dtype=bool)
+    x, used, barred = np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     scale = max(1.0, float(np.abs(b).max(initial=0)))
+    gram, right = a.T @ a, a.T @ b
     for _ in range(rounds):
-        slope = a.T @ (b - a @ x)
-        slope[used] = -np.inf
+        slope = right - gram @ x
+        slope[used | barred] = -np.inf
         k = int(np.argmax(slope))
-        if slope[k] <= 1e-9 * scale:
+        if slope[k] <= 1e-6 * scale:
             break
         used[k] = True
-        while True:
+        while used.any():
             own = np.flatnonzero(used)
-            best = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
-            if best.min() > 1e-12 * scale:
+            best = np.linalg.lstsq(gram[np.ix_(own, own)], right[own], rcond=None)[0]
+            if best[own == k].min(initial=1.0) <= 1e-9 * scale:  # it can't enter now; others may
+                used[k], barred[k] = False, True
+                break
+            low = best <= 1e-12 * scale
+            if not low.any():
                 x[:] = 0
                 x[own] = best
+                barred[:] = False
                 break
-            low = best <= 1e-12 * scale
             gap = x[own][low] - best[low]
             step = float(np.min(np.divide(x[own][low], gap, out=np.zeros(gap.shape), where=gap > 0)))
             x[own] += step * (best - x[own])
-            drop = own[(x[own] <= 1e-12 * scale)]
+            drop = own[x[own] <= 1e-12 * scale]
+            drop = drop[drop != k] if len(drop) and step < 1 else drop
             x[drop] = 0
             used[drop] = False
-            if not used.any():
-                break
-        if not used.any():
-            break
+            if not len(drop):
+                used[own[low]] = False
     return x
 
 

@@ -52,14 +52,14 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long)."""
+    """``doc_id, text_hash, fp`` (the fingerprint as a signed long)."""
 
     def run(batches):
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def trees(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ def links(nodes: DataFrame, bits: int = 4, block: int = 8192, m: int | None = No
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id, copies`` for each row of ``docs``."""
+    """``doc_id, text_hash, fingerprint, component_id, copies`` for each row of ``docs``."""
     marked = materialise(fingerprints(docs, words, doc_id, text), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     found = materialise(components(links(nodes.select("fp"), bits)), "components")
@@ -231,18 +231,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, doc_id: str
     first = roots.join(nodes.select(F.col("fp").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
     named = roots.join(first, "root").select(F.col("node").alias("fp"), "least")
     classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "copies")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    return marked.join(classes, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id; one of rows that repeat that id."""
     groups = materialise(near_duplicates(docs, words, bits, doc_id, text), "groups")
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    stays = materialise(chosen.select(F.col("doc_id").alias("_stays"), named.alias("_class")).groupBy("_class").agg(F.min("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows")), "stays")
-    single = stays.filter("_rows = 1").select("_stays")
-    several = stays.filter("_rows > 1").select("_stays").distinct()
-    kept = docs.join(single, docs[doc_id].eqNullSafe(single["_stays"]), "left_semi")
-    # only rows whose id repeats are compared with each other
-    again = docs.join(several, docs[doc_id].eqNullSafe(several["_stays"]), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(again)
+    named = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))  # without any id: the fingerprint
+    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(named.alias("class"), "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    stays = materialise(chosen.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash", "rows")).alias("s")).select("s.*"), "stays")
+    # only rows that repeat in id and text are compared with each other
+    single, several = stays.filter("rows = 1"), stays.filter("rows > 1")
+    at = lambda some: docs[doc_id].cast("long").eqNullSafe(some["doc_id"]) & (F.xxhash64(docs[text]) == some["text_hash"])
+    return docs.join(single, at(single), "left_semi").unionByName(docs.join(several, at(several), "left_semi").dropDuplicates([doc_id, text]))
