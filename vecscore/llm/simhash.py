@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, doc_id: str
     roots = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     first = roots.join(nodes.select(F.col("fp").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
     named = roots.join(first, "root").select(F.col("node").alias("fp"), "least")
-    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "copies")
+    # written, so that both sides of the last join are plain exchanges and a fingerprint of many rows can be split
+    classes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "copies"), "classes")
     return marked.join(classes, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
