@@ -255,7 +255,7 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def pack(cut: DataFrame, capacity: int = 2048, classes: int = 128, parts: int = 3) -> DataFrame:
     """``cut`` (with ``doc_id, piece, length``) with ``sequence_id`` and ``offset``."""
     n = cut.count()
-    buckets = max(1, -(-n // 20_000))
+    buckets = max(1, -(-n // 2048))
     # within a bucket and length, rows are told apart by all that they are
     bucketed = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = materialise(bucketed.groupBy("_b", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
