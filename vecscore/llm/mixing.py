@@ -161,7 +161,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     copies = mixed.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "h", "copies").groupBy("id", "h").agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("rows"))
-    joined = boxed(docs, id=F.coalesce(F.col(doc_id), F.lit(-1)), h=F.xxhash64(F.col(doc_id), F.col(text))).join(copies, ["id", "h"])
-    # rows alike in id and text share their copies; nearly always there is one such row
-    each = F.when(F.col("rows") == 1, F.col("sum")).otherwise(F.ceil(F.col("sum") / F.col("rows"))).cast("int")
-    return unboxed(joined.withColumn("copy", F.explode(F.array_repeat(F.lit(0), each))), docs)
+    copies = materialise(copies, "copies")
+    keyed = boxed(docs, id=F.coalesce(F.col(doc_id), F.lit(-1)), h=F.xxhash64(F.col(doc_id), F.col(text)))
+    one = keyed.join(copies.filter("rows = 1 AND sum > 0"), ["id", "h"]).withColumn("each", F.col("sum").cast("int"))
+    # rows alike in id and text share their copies out among them; nearly always there are none
+    several = keyed.join(copies.filter("rows > 1 AND sum > 0"), ["id", "h"])
+    k = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))
+    several = several.withColumn("k", k).withColumn("each", (F.floor(F.col("sum") / F.col("rows")) + F.when(F.col("k") <= F.col("sum") % F.col("rows"), 1).otherwise(0)).cast("int")).drop("k")
+    return unboxed(one.unionByName(several).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("each")))), docs)
