@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 
 from vecscore.llm.licenses import PHRASES, TEMPLATES
 from vecscore.llm.quality import LineLimits
+from vecscore.llm.urls import PATTERNS, RULES
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -100,8 +102,50 @@ FROM f
 """
 
 
+def line_dedup_sql(min_words: int = 8) -> str:
+    return rf"""
+WITH line AS (
+  SELECT doc_id, l, pos, regexp_extract_all(translate(l, {_AZ}), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+own AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS k FROM line WHERE len(w) > 0),
+class AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM own) WHERE r = 1),
+del AS (
+  SELECT k, doc_id, pos, p, n, array_to_string(list_concat(w[1 : p - 1], w[p + 1 :]), ' ') AS v
+  FROM (SELECT k, doc_id, pos, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS p FROM class WHERE len(w) >= {min_words})),
+near AS (
+  SELECT k FROM (SELECT k, row_number() OVER (PARTITION BY v, p ORDER BY doc_id, pos) AS r FROM del) WHERE r > 1
+  UNION SELECT CASE WHEN (d.doc_id, d.pos) > (c.doc_id, c.pos) THEN d.k ELSE c.k END FROM del d JOIN class c ON d.v = c.k WHERE len(c.w) >= {min_words}),
+stay AS (SELECT doc_id, pos FROM class ANTI JOIN near USING (k)),
+marked AS (SELECT line.doc_id, line.pos, l, len(w) > 0 AS has_word, stay.pos IS NOT NULL AS kept FROM line LEFT JOIN stay ON line.doc_id = stay.doc_id AND line.pos = stay.pos),
+d AS (
+  SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (has_word AND NOT kept) AS n_removed, string_agg(l, chr(10) ORDER BY pos) FILTER (kept OR NOT has_word) AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CASE WHEN text IS NULL OR n_removed = 0 THEN text WHEN n_removed = n_lines THEN '' ELSE t END AS text
+FROM documents JOIN d USING (doc_id)
+"""
+
+
+def url_sql() -> str:
+    def regex(pattern: str) -> str:
+        parts = [re.escape(p).replace("'", "''") for p in re.split(r"(\*\*|\*)", pattern)]
+        return "".join("(?s:.*)" if p == r"\*\*" else r"[^\x01\x02]*" if p == r"\*" else p.replace("\x01", r"\x01").replace("\x02", r"\x02") for p in parts)
+
+    bad = " OR ".join(f"regexp_full_match(canon, '{regex(p)}')" for p in PATTERNS)
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return rf"""
+WITH a AS (SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS after FROM a),
+c AS (SELECT page_id, host, regexp_extract(after, '^[^?#]*') AS path, substr(after, length(regexp_extract(after, '^[^?#]*')) + 1) AS tail FROM b),
+d AS (SELECT *, '.' || host || chr(1) || path || CASE WHEN tail <> '' THEN chr(2) || lower(tail) ELSE '' END AS canon FROM c),
+rules(verdict, h, p) AS (VALUES {rules}),
+fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM d, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host = '' OR {bad} THEN 'block' ELSE 'allow' END) AS verdict FROM d LEFT JOIN fits USING (page_id)
+"""
+
+
 ORACLE_SQL = {
     "op1_license_scan": license_sql(),
     "op2_chat_formatting": chat_sql(),
+    "op5_line_dedup": line_dedup_sql(),
     "op7_quality_rules": quality_sql(),
+    "op9_url_filter": url_sql(),
 }

@@ -34,7 +34,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: The method's own patterns, over path and query in lower case as they stand.
+#: The method's own patterns, over the canonical URL; its part after the query mark is in lower case.
 PATTERNS = [
     "**\x01**/login**", "**\x01**/signin**", "**\x01**/cart**", "**\x01**/checkout**", "**\x01**/wp-admin**",
     "**\x01*.exe", "**\x01*.zip", "**\x01*.apk", "**\x01*.exe\x02**", "**\x01*.zip\x02**",
