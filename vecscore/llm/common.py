@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: The white space of the word contracts: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -34,12 +34,29 @@ def count_words(text: Column) -> Column:
     return F.size(space_words(text)).cast("long")
 
 
+_cleaned: set[str] = set()
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder; local runs that name none get one in /tmp."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return os.path.join(shared, f"vecscore-{uuid.uuid4().hex}")
+    """A new folder below the cluster's shared folder; local runs that name none get one in /tmp.
+
+    An application's folders lie in one, which is deleted when the driver's Python ends.
+    """
+    app = spark.sparkContext.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    root = os.path.join(shared, f"vecscore-{app}")
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_delete, spark, root)
+    return os.path.join(root, uuid.uuid4().hex)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110: the JVM may be gone by then
+        pass
 
 
 def materialise(df: DataFrame, name: str = "table", partitions_by: tuple[str, ...] = ()) -> DataFrame:
