@@ -49,6 +49,21 @@ def prepare_rows(corpus: DataFrame, text_preprocessor: Callable | None = None, c
     return df
 
 
+def pandas_preprocessor(run: Callable, extras: str = "") -> Callable:
+    """A preprocessor from a function of pandas frames, which then gets Arrow batches of the corpus; ``extras`` names further columns (``"lang string"``)."""
+    schema = "id string, text string, text_hash string" + (f", {extras}" if extras else "")
+
+    def preprocess(df: DataFrame, **arguments) -> DataFrame:
+        def frames(batches):
+            for batch in batches:
+                yield run(batch, **arguments)
+
+        return df.mapInPandas(frames, schema)
+
+    preprocess.__name__ = getattr(run, "__name__", "pandas_preprocessor")
+    return preprocess
+
+
 def existing_hashes(spark: SparkSession, project: Project, label_dir: str) -> DataFrame | None:
     """``id, text_hash``, the newest of each id; None without shards."""
     if not any(x.startswith("batch=") for x in project.files.children(label_dir)):
