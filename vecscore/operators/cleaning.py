@@ -80,8 +80,12 @@ def clean_abstract_for_embedding(df: DataFrame, return_flags: bool = True, **opt
     missing = [c for c in ("id", "title", "abstract") if c not in df.columns]
     if missing:
         raise ValueError("`df` must contain columns: " + ", ".join(missing))
-    out = cleaned_columns(df.select("id", "title", "abstract"), CleanRules(**options)).withColumn("id", normal_space(F.col("id")))
-    out = out.filter((F.col("id") != "") & F.col("text").isNotNull() & (F.col("text") != ""))
+    rules = CleanRules(**options)
+    named = df.select(normal_space(F.col("id")).alias("id"), "title", "abstract").filter("id <> ''")
+    out = cleaned_columns(named, rules)
+    if rules.no_abstract_policy != "keep_title_only":
+        # where every row keeps a text no such filter is made: pushed down, it would clean each text twice
+        out = out.filter("text IS NOT NULL")
     return out.select("id", "text", xxh64_hex(F.col("text")).alias("text_hash"), *(FLAGS if return_flags else ()))
 
 
