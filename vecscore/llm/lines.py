@@ -221,7 +221,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000,
     stay = classes.join(near, ["h1", "h2"], "left_anti")
     places = stay.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list("first.pos").alias("kept"))
     own = F.col(text)
-    out = boxed(docs, id=F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), dg=F.xxhash64(F.coalesce(own, F.lit(""))), text=own).join(places, ["id", "dg"], "left")
+    out = boxed(docs, id=F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), dg=F.xxhash64(F.coalesce(own, F.lit("")))).join(places, ["id", "dg"], "left")
+    out = out.withColumn("text", F.col("row").getField(text))  # after the shuffle, which holds each text once
     out = out.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     out = out.withColumn("blank", F.expr("filter(transform(lines, (x, i) -> IF(btrim(x, ' \\t\\n\\u000b\\f\\r') = '', i, -1)), i -> i >= 0)"))
     out = out.withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))

@@ -122,6 +122,6 @@ def without_frequent_lines(docs: DataFrame, ruled: DataFrame, doc_id: str = "doc
     """The rows of ``docs`` that :func:`quality_rules` keeps, their frequent lines taken out of ``text``."""
     kept = ruled.filter("kept").select(*_KEY, F.col("removed_lines").alias("gone")).dropDuplicates(_KEY)
     own = {"_id": F.coalesce(F.col(doc_id), F.lit(-1)), "_host": _host(F.col(host)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))}
-    joined = boxed(docs, text=F.col(text), **own).join(kept, _KEY)
+    joined = boxed(docs, **own).join(kept, _KEY).withColumn("text", F.col("row").getField(text))  # the shuffle holds each text once
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
     return unboxed(joined, docs, **{text: cleaned})
