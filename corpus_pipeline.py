@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecscore.llm import lines, mixing, packing, quality, simhash
+from vecscore.llm import lines, mixing, packing, quality, shingles
 from vecscore.llm.common import DOCUMENT_COLUMNS, materialise, read
 from vecscore.llm.queries import tokenizer_files
 
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by shingles of five words, the smallest doc_id stays."""
-    return simhash.one_of_each(docs, words=5, bits=4).select(*DOCUMENT_COLUMNS)
+    """Of each group of near duplicates, five-word shingles with a Jaccard similarity of 0.8 or more, the smallest doc_id stays."""
+    return shingles.one_of_each(docs, words=5, percent=80).select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
