@@ -173,6 +173,11 @@ def area_score(spark, sf_dir):
     return _rounded(area.area_score(found), "relevance_score", "area_distance", digits=4)
 
 
+def area_score_full(spark, sf_dir):
+    """As area_score, of whole vectors; SQL can't write the inverse."""
+    return area.area_score(area_distance_full(spark, sf_dir))
+
+
 def _prepared(spark, sf_dir, lang=None):
     docs = _table(spark, sf_dir, "documents")
     docs = docs if lang is None else docs.filter(F.col("lang") == lang)
@@ -214,6 +219,11 @@ def natural_join_distances(spark, sf_dir):
     return relational.distances(cosine_to_reference_centroid(spark, sf_dir), area_distance_2d(spark, sf_dir))
 
 
+def natural_join_distances_full(spark, sf_dir):
+    """As natural_join_distances, with the area distances of whole vectors."""
+    return relational.distances(cosine_to_reference_centroid(spark, sf_dir), area_distance_full(spark, sf_dir))
+
+
 def _two_sides(spark, sf_dir):
     direct = vectors(spark, sf_dir).select("id", "embedding")
     return direct, direct.withColumn("embedding", F.transform("embedding", lambda x: x * 0.9 + 0.01))
@@ -277,7 +287,7 @@ QUERIES = {
     for f in (
         flagship, cosine_pairs, cosine_matrix, cosine_to_reference_centroid, cosine_from_corpus_centroid, cosine_centroid_corner, score_cosine_linear, score_cosine_exponential,
         clean_lenient, clean_balanced, clean_strict, clean_policy_discard, clean_policy_conditional, clean_flags, strip_html_pages, calibrate_f1, calibrate_precision_at_recall, calibrate_curve,
-        area_mean, area_covariance, area_distance_2d, area_distance_full, area_score, changed_rows, dry_run_preview, keep_newest, superseded_rows, duplicate_ids, natural_join_distances,
+        area_mean, area_covariance, area_distance_2d, area_distance_full, area_score, area_score_full, changed_rows, dry_run_preview, keep_newest, superseded_rows, duplicate_ids, natural_join_distances, natural_join_distances_full,
         compare_embeddings, compare_summary, similarity_neighbours, batch_request_lines, batch_job_plan, batch_parse_output, label_lookup, sample_rows, local_embeddings, pca_projection, umap_projection,
     )
 }
