@@ -44,14 +44,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def half_keys(words: list[bytes]) -> list[tuple[int, int, int]]:
+def half_keys(words: list[bytes], min_words: int = 8) -> list[tuple[int, int, int]]:
     """(hash, first, end) of the line's halves, and the places that an edit may have if the half is shared.
 
-    Lines one edit apart have the same ``a`` for at least one of their levels.
+    Lines one edit apart have the same ``a`` for at least one of their levels. Below
+    8 words ``a`` is 0: such lines all share the empty half and emit every deletion, as
+    do those of 8 words if lines of 7 may match them.
     """
     n = len(words)
     out = []
-    for a in (4 * (n // 8), *([4 * (n // 8 - 1)] if n % 8 == 0 and n >= 16 else [])):
+    for a in (4 * (n // 8), *([4 * (n // 8 - 1)] if n % 8 == 0 and (n >= 16 or min_words < 8) else [])):
         out.append((_signed(xxhash.xxh64_intdigest(b"%d<" % a + b" ".join(words[:a]))), a, n))
         out.append((_signed(xxhash.xxh64_intdigest(b"%d>" % a + b" ".join(words[n - a :]))), 0, n - a))
     return out
@@ -131,7 +133,7 @@ def _half_rows(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataF
 
     def run(batches):
         for batch in batches:
-            yield from _batches(((k, line_hash(words)[0]) for *_, words in _lines_of(batch) if len(words) >= min_words for k, *_ in half_keys(words)), schema)
+            yield from _batches(((k, line_hash(words)[0]) for *_, words in _lines_of(batch) if len(words) >= min_words for k, *_ in half_keys(words, min_words)), schema)
 
     return _flat(docs, doc_id, text).mapInArrow(run, "k long, h1 long")
 
@@ -148,7 +150,7 @@ def _maybe_lines(docs: DataFrame, halves: np.ndarray | None, min_words: int, doc
                 if given is None:
                     out = ((*line_hash(w), i, dg, pos, 0, len(w), line) for i, dg, pos, line, w in part)
                 else:
-                    keys = [half_keys(w) for *_, w in part]
+                    keys = [half_keys(w, min_words) for *_, w in part]
                     hit = iter(_has(given.value, np.fromiter((k for x in keys for k, *_ in x), dtype=np.int64)).tolist())
                     found = [[(a, b) for _, a, b in x if next(hit)] for x in keys]
                     out = ((*line_hash(w), i, dg, pos, min(a for a, _ in f), max(b for _, b in f), line) for (i, dg, pos, line, w), f in zip(part, found, strict=True) if f)
@@ -217,7 +219,7 @@ def near_matches(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000
 def dedup_lines(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the kept lines in ``text``, and ``n_lines``, ``n_removed`` (lines with a word)."""
     classes = line_classes(docs, doc_id, text)
-    near = materialise(near_matches(docs, max(8, min_words), most_keys, doc_id, text), "near_lines")
+    near = materialise(near_matches(docs, max(1, min_words), most_keys, doc_id, text), "near_lines")
     stay = classes.join(near, ["h1", "h2"], "left_anti")
     places = stay.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list("first.pos").alias("kept"))
     own = F.col(text)
