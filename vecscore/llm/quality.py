@@ -25,9 +25,12 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line of a host goes if more than max(floor, share of the host's texts) distinct texts hold it."""
+    """A line of a host goes if more than max(floor, share of the host's texts) distinct texts hold it.
 
-    floor: int = 100
+    The floor keeps chance repeats of hosts with a few texts; from floor / share = 500 texts on the share alone decides.
+    """
+
+    floor: int = 10
     share: float = 0.02
     #: Depleted: fewer than this many words stay, and no more than this share of them.
     min_words: int = 20
