@@ -86,14 +86,29 @@ def test_chat_windows_keep_the_budget(spark):
     assert chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def brute_quality(docs, limits):
+def norm(line):
+    return re.sub("[0-9]+", "0", " ".join(SPACE.findall(line.lower())))
+
+
+def line_counts(docs):
+    """The distinct texts of each host, and those that hold each of its lines."""
     hosts, held = defaultdict(set), defaultdict(set)
-    norm = lambda x: re.sub("[0-9]+", "0", " ".join(SPACE.findall(x.lower())))
     for _, t, s in docs:
         hosts[s].add(t or "")
         for line in (t or "").split("\n"):
             if norm(line):
                 held[(s, norm(line))].add(t or "")
+    return hosts, held
+
+
+def without_frequent(docs, limits):
+    hosts, held = line_counts(docs)
+    frequent = lambda x, s: norm(x) and len(held[(s, norm(x))]) > max(limits.floor, limits.share * len(hosts[s]))
+    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if not frequent(x, s)), s) for i, t, s in docs]
+
+
+def brute_quality(docs, limits):
+    hosts, held = line_counts(docs)
     out = []
     for i, t, s in docs:
         w = SPACE.findall(t or "")

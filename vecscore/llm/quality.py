@@ -7,8 +7,10 @@ host's limit are removed. A document is rejected if a base rule fails, or if it
 depleted: few words stay and most of them were removed.
 
 Defined results: a null text has no words and fails the base rule; a null source
-is a host of its own; repeated rows get equal results, one each; rows of an empty
-table give an empty table; other columns are left as they are.
+is a host of its own; a null doc_id is an id; rows alike in id, host and text get equal
+results, one each; a line held by exactly the limit stays; very long texts are counted
+whole, in one row; an empty table gives an empty table; other columns, whatever their
+names, are left as they are.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 class LineLimits:
     """A line of a host goes if more than max(floor, share of the host's texts) distinct texts hold it.
 
-    The floor keeps chance repeats of hosts with a few texts; from floor / share = 500 texts on the share alone decides.
+    The floor says how few texts are no evidence of boilerplate; from floor / share = 150 texts on the share alone decides.
     """
 
-    floor: int = 10
+    floor: int = 3
     share: float = 0.02
     #: Depleted: fewer than this many words stay, and no more than this share of them.
     min_words: int = 20
