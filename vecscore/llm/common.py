@@ -6,6 +6,7 @@ import atexit
 import os
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,18 @@ _cleaned: set[str] = set()
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder; local runs that name none get one in /tmp.
+    """A new folder below the cluster's shared folder, ``spark.checkpoint.dir``.
 
+    Only a session whose tasks all run in the driver's own process may name none; it gets
+    one in /tmp, where a cluster's executors would each write to a disk of their own.
     An application's folders lie in one, which is deleted when the driver's Python ends.
     """
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        shared = "/tmp/checkpoints"
     root = os.path.join(shared, f"vecscore-{app}")
     if root not in _cleaned:
         _cleaned.add(root)
@@ -55,7 +62,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001, S110: the JVM may be gone by then
+    except (Py4JError, OSError):  # the JVM is gone by then
         pass
 
 
@@ -78,7 +85,7 @@ def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing reads any more."""
     spark = df.sparkSession
     jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
+    for file in df.inputFiles()[:1]:  # a table without rows may have no file
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
