@@ -35,7 +35,7 @@ def test_parts_miss_no_link(m):
     assert sum(w for _, w in cut) == 64
     i_all, j_all = [], []
     for chosen in combinations(range(m), m - 4):
-        x = simhash._arranged(v, chosen, cut)
+        x = simhash.arranged(v, chosen, cut)
         depth = sum(cut[k][1] for k in chosen)
         group = np.unique(x >> np.uint64(64 - depth), return_inverse=True)[1]
         order = np.lexsort((x, group))

@@ -28,7 +28,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, bits=4).drop("text_hash")
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, bits=4).drop("text_hash", "root")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
