@@ -8,15 +8,17 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import rows
-from tests.llm.test_dedup import brute_components, brute_lines, edited_lines, near_copies
-from tests.llm.test_native import brute_quality
+from tests.llm.test_dedup import brute_lines, edited_lines, near_copies
+from tests.llm.test_native import brute_quality, without_frequent
+from tests.llm.test_shingles import all_pairs
 from vecscore.llm import common, quality
 from vecscore.llm.queries import tokenizer_files
 
 
 def documents():
     docs = [(r[0], r[1], r[2], r[3], r[4]) for r in rows()]
-    docs += [(i, t + "\n" + " ".join(f"tail{i}x{k}" for k in range(25)), "en", f"s{i % 4}", len(t)) for i, t in edited_lines()]
+    letters = lambda x: "".join(chr(97 + int(c)) for c in str(x))  # noqa: E731  digits of lines are all one to the quality rules
+    docs += [(i, t + "\n" + " ".join(f"tail{letters(i)}x{letters(k)}" for k in range(60)), "en", f"s{i % 4}", len(t)) for i, t in edited_lines()]
     return docs + [(i, t, "de", "s9", len(t)) for i, t in near_copies(30)]
 
 
@@ -36,16 +38,16 @@ def test_stages(spark, folder):
         if k < 4:
             assert docs.columns == list(common.DOCUMENT_COLUMNS)
             assert all(r[4] == (None if r[1] is None else len(r[1])) or name in ("near_dedup", "mix_sources") for r in out[name])
-    # 1: rejected documents go; no line here is above the limits
+    # 1: rejected documents go, and lines above their host's limit
     verdict = {(i, ok) for (i, *_, ok) in brute_quality(kept, quality.LineLimits())}
     good = {i for i, ok in verdict if ok}
-    first = sorted(((d[0], d[1]) for d in documents() if d[0] in good), key=str)
+    first = sorted(((d, t) for d, t, _ in without_frequent(kept, quality.LineLimits()) if d in good), key=str)
     assert sorted(((r[0], r[1]) for r in out["quality_rules"]), key=str) == first
+    assert any(t != dict((d[0], d[1]) for d in documents())[i] for i, t in first)
     # 2: lines
     assert sorted(((r[0], r[1]) for r in out["line_dedup"]), key=str) == sorted(((i, t) for i, _, _, t in brute_lines(first)), key=str)
-    # 3: one of each group
-    groups = brute_components([(r[0], r[1]) for r in out["line_dedup"]], 5)
-    assert sorted(r[0] for r in out["near_dedup"]) == sorted({c for *_, c in groups})
+    # 3: one of each group at a similarity of 0.8 of five-word shingles, by all pairs
+    assert sorted(r[0] for r in out["near_dedup"]) == all_pairs([(r[0], r[1]) for r in out["line_dedup"]])
     # 4: rows of the stage before, at most twice each
     before, after = {r[0]: r for r in out["near_dedup"]}, Counter(r[0] for r in out["mix_sources"])
     assert all(before[r[0]] == r for r in out["mix_sources"]) and max(after.values()) <= 2
