@@ -1,11 +1,14 @@
 """Chat formatting [native]: budgeted windows of whole turns, with a loss mask.
 
-Turns of a conversation are put in order and measured; prefix sums of their sizes
-cut them into spans of whole turns that fit the token budget. Each window repeats
-the system turn (the first turn, if its role is ``system``) and up to
-``history`` turns before its span, as far as the budget allows. The loss mask
+Turns of a conversation are put in order and measured, and a window function gives the
+prefix sums of their sizes. These cut them into spans of whole turns that fit the token
+budget. Each window repeats the system turn (the first turn, if its role is ``system``)
+and up to ``history`` turns before its span, as far as the budget allows. The loss mask
 covers the texts of assistant turns of the span alone: repeated ones are masked.
 
+The budget counts words and marks, not the ids of some tokenizer: SQL functions can't run
+one. A caller whose tokenizer makes more of a word gives a smaller budget.
+
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside texts and roles
 a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a control
 string; in roles a line break becomes ``\\n``. :func:`unescape` undoes both.
@@ -13,14 +16,16 @@ string; in roles a line break becomes ``\\n``. :func:`unescape` undoes both.
 Defined results: null texts and roles are empty; null turns come first; equal turn
 numbers are ordered by role, then text; repeated rows are turns of their own; a
 turn larger than the budget gets a window that exceeds it, never cut; a null
-conversation id is a conversation. The turns of one conversation are gathered in
-one row, as its digests and windows need them in order.
+conversation id is a conversation; an empty table gives an empty table; other columns are
+not read, so no name clashes. The turns of one conversation are gathered in one row, as its
+digests are of the whole of it in order; the work is in proportion to its turns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -56,18 +61,22 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 2, conv_id
     length in code points of the window's text).
     """
     said, by = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role).cast("string"), F.lit(""))
-    row = F.struct(F.col(turn).alias("turn"), by.alias("role"), said.alias("text"), turn_tokens(said).alias("n"), F.concat(F.lit(START), escape_role(by), F.lit("\n")).alias("head"), escape(said).alias("body"))
-    out = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("_t"))
-    # prefix sums: _p[i] is the size of the turns before i
-    out = out.withColumn("_p", F.expr("aggregate(_t, array(0), (s, x) -> array_append(s, s[size(s) - 1] + x.n))"))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), by.alias("role"), said.alias("text")).withColumn("n", turn_tokens(F.col("text")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # prefix sums: p is the size of the turns before
+    rows = rows.select("conv_id", "role", "text", "n", F.row_number().over(order).alias("i"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("p"))
+    row = F.struct("i", "role", "n", "p", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
+    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("_t"))
     out = out.withColumn("_sys", F.expr("IF(_t[0].role = 'system', 1, 0)"))
     out = out.withColumn("_room", F.expr(f"{budget} - IF(_sys = 1, _t[0].n, 0)"))
-    # first turn of each span: greedy over the prefix sums, the first span beginning at the system turn
-    out = out.withColumn("_cut", F.expr(
-        "aggregate(sequence(0, size(_t) - 1), array(0), (s, i) -> IF(i > s[size(s) - 1] AND _p[i + 1] - _p[s[size(s) - 1]] > _room + IF(size(s) = 1 AND _sys = 1, _t[0].n, 0), array_append(s, i), s))"))
+    # first turn of each span: greedy over the prefix sums, the first span beginning at the system turn; a list that grows is copied, so cuts are kept in blocks
+    out = out.withColumn("_cut", F.expr("""aggregate(sequence(0, size(_t) - 1), struct(0 AS a, array(0) AS block, cast(array() AS array<array<int>>) AS full),
+        (s, i) -> IF(i > s.a AND _t[i].p + _t[i].n - _t[s.a].p > _room + IF(s.a = 0 AND _sys = 1, _t[0].n, 0),
+            struct(i AS a, IF(size(s.block) < 256, array_append(s.block, i), array(i)) AS block, IF(size(s.block) < 256, s.full, array_append(s.full, s.block)) AS full), s),
+        s -> flatten(array_append(s.full, s.block)))"""))
     # of each span: its end, and how many turns before it are repeated within the budget
     out = out.withColumn("_spans", F.expr(f"""transform(_cut, (a, k) -> struct(a AS a, coalesce(get(_cut, k + 1), size(_t)) AS b,
-        IF(k = 0, 0, size(filter(sequence(1, {history}), h -> a - h >= _sys AND _p[coalesce(get(_cut, k + 1), size(_t))] - _p[greatest(a - h, 0)] <= _room))) AS h,
+        IF(k = 0, 0, size(filter(sequence(1, {history}), h -> a - h >= _sys AND _t[coalesce(get(_cut, k + 1), size(_t)) - 1].p + _t[coalesce(get(_cut, k + 1), size(_t)) - 1].n - _t[greatest(a - h, 0)].p <= _room))) AS h,
         IF(k > 0, _sys, 0) AS s))""" if history > 0 else "transform(_cut, (a, k) -> struct(a AS a, coalesce(get(_cut, k + 1), size(_t)) AS b, 0 AS h, IF(k > 0, _sys, 0) AS s))"))
     out = out.withColumn("_w", F.expr("transform(_spans, x -> struct(x.h + x.s AS repeated, concat(slice(_t, 1, x.s), slice(_t, x.a - x.h + 1, x.b - x.a + x.h)) AS t))"))
     # places of the texts in a window: prefix sums of code points, folded from left to right
