@@ -1,10 +1,10 @@
 """Toxicity: maximum-scoring segments over token log-odds, with extreme-value calibration.
 
-Learning, from a bounded sample of labelled rows (``bound``): each word's log-odds ratio between toxic and
-clean documents under an informative Dirichlet prior, whose weights are the word's
-share in the whole corpus. The ``vocabulary`` words with the largest z-scores, and a
-z of at least ``min_z``, form the model; all other words have one common weight.
-That bound is the model's size, not a limit on the rows that are counted.
+Learning, from a bounded sample of labelled rows (``bound``): each token's log-odds ratio
+between toxic and clean documents under an informative Dirichlet prior, whose weights are
+the token's share in the whole corpus. The tokens with a z-score of ``MIN_Z`` and log-odds of
+``MIN_ODDS`` form the model, however many they are; all other words have one common
+weight. The sample's bound is the only bound: it limits the tokens that can be told apart.
 
 Scoring is one linear scan: the words' scores, each less what makes the mean
 negative, are cut into all maximal scoring segments (disjoint, each the best of its
@@ -12,14 +12,19 @@ place). In random text the best score of n words follows an extreme-value law,
 P(S >= s) = 1 - exp(-K n exp(-lambda s)); lambda solves the words' moment equation
 and K comes from clean training rows. A segment is significant if its expected
 number by chance in the text is small; the text's evidence is the sum of the
-significant segments' log-likelihoods beyond chance, or that of its best segment. The evidence
-of all labelled training rows, in a histogram, gives the map from evidence to
-probability, by isotonic regression.
+significant segments' log-likelihoods beyond chance, or that of its best segment.
+
+The map from evidence to probability is fitted out of fold: the labelled rows are dealt
+into ``FOLDS`` by a hash of the id, each fold is scored by a model learned from the others,
+and the histogram of that evidence gives the map, by isotonic regression.
 
 Defined results: null and empty texts have no segment and the lowest evidence's
 probability; a null doc_id isn't held out; labels of other values than 0 and 1 and
-null labels are left out; several labels of one document count as its largest;
-without labelled rows of both kinds every score is 0.
+null labels are left out; several labels of one document count as its largest; rows of one
+doc_id with different texts each count with its label; a token on a threshold is in the model;
+rows of equal evidence have equal scores; without labelled rows of both kinds every score is 0;
+very long texts are read whole, word by word; an empty table gives an empty table; other
+columns are not read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -38,6 +43,11 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Of UTF-8 bytes: A to Z become a to z, what lies between words becomes a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BINS = 2048
+FOLDS = 4
+#: Pseudo-documents of the prior; what a token of the model has at least.
+PRIOR, MIN_Z, MIN_ODDS = 200.0, 3.0, 1.5
+#: Tokens are counted in the corpus if their document shares differ by so many standard errors in a fold's training rows.
+ROUGH = 2.0
 #: Lengths of the word beginnings that are tokens too: inflected and compound forms share them.
 STEMS = (5, 7)
 
@@ -181,50 +191,84 @@ def text_tokens(text) -> Column:
 
 
 def known_labels(labels: DataFrame, bound: int = 200_000, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """``doc_id, y`` of at most ``bound`` labelled documents that aren't held out, chosen by a hash of the id.
+    """``doc_id, y, fold`` of at most ``bound`` labelled documents that aren't held out, chosen by a hash of the id.
 
     Fitting uses this bounded sample; being bounded, it may be broadcast.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    known = known.filter("doc_id IS NOT NULL").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int"))
     return materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "labels")
 
 
 def _training(docs: DataFrame, known: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, text, y``: no text is shuffled, the labels' bound lets them be broadcast."""
+    """``doc_id, text, y, fold``: no text is shuffled, the labels' bound lets them be broadcast."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
 
 
-def learn_weights(docs: DataFrame, known: DataFrame, vocabulary: int = 50_000, prior: float = 200.0, min_z: float = 3.0, min_odds: float = 1.5, doc_id: str = "doc_id", text: str = "text") -> ToxicModel:
-    """Log-odds of the tokens with the clearest difference; the prior's counts cover the whole corpus."""
-    train = _training(docs, known, doc_id, text)
+@dataclass
+class TokenCounts:
+    """Of each token in how many toxic and in how many training documents of each fold it stands, and in how many of the corpus."""
+
+    words: list[str]
+    bad: np.ndarray  # (tokens, folds)
+    all: np.ndarray
+    seen: np.ndarray
+    n_docs: int
+    n_bad: np.ndarray  # (folds,) training documents
+    n_all: np.ndarray
+    clean: np.ndarray  # (folds,) sum over all tokens of the clean documents that hold them
+
+
+def _apart(bad, all_, n1, n0):
+    """How many standard errors a token's shares in toxic and clean documents differ by."""
+    return F.when(all_ > 0, F.abs(bad / n1 - (all_ - bad) / n0) / F.sqrt(F.greatest(all_, F.lit(1)) / (n1 + n0) * (1 / n1 + 1 / n0))).otherwise(0.0)
+
+
+def token_counts(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TokenCounts | None:
+    """Counts of the tokens that may tell; None without training rows of both kinds in the training part of every fold."""
+    sums = known.groupBy("fold").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).collect()  # a row per fold
+    n_bad, n_all = np.zeros(FOLDS), np.zeros(FOLDS)
+    for r in sums:
+        n_bad[r["fold"]], n_all[r["fold"]] = r["bad"], r["all"]
+    n_good = n_all - n_bad
+    if min((n_bad.sum() - n_bad).min(), (n_good.sum() - n_good).min()) <= 0:
+        return None
     # a token counts once a document: repeats of it in one text say no more about the label
-    counts = train.select("y", F.explode(text_tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).filter("all > 1")
-    n_bad, n_all = known.agg(F.sum("y"), F.count(F.lit(1))).first()
-    if not n_all or not n_bad or n_bad == n_all:
-        return ToxicModel()
-    n1, n0 = float(n_bad), float(n_all - n_bad)
-    counts = materialise(counts, "counts")
-    clean_tokens = float(counts.agg(F.sum(F.col("all") - F.col("bad"))).first()[0] or 1)
-    # the tokens to look at more closely: those whose document shares differ most clearly
-    share = F.col("all") / (n1 + n0)
-    rough = F.abs(F.col("bad") / n1 - (F.col("all") - F.col("bad")) / n0) / F.sqrt(share * (1 / n1 + 1 / n0))
-    words = materialise(counts.withColumn("rough", rough).orderBy(F.col("rough").desc(), "w").limit(2 * vocabulary).select("w", "bad", "all"), "words")
-    corpus = documents_with(docs, [r["w"] for r in words.select("w").collect()], text)  # at most 2 * ``vocabulary`` tokens
-    counted = materialise(words.join(corpus, "w"), "seen")
+    train = _training(docs, known, doc_id, text).select("y", "fold", F.explode(text_tokens(F.col("text"))).alias("w"))
+    each = [x for f in range(FOLDS) for x in (F.sum(F.when(F.col("fold") == f, F.col("y")).otherwise(0)).alias(f"bad{f}"), F.sum((F.col("fold") == f).cast("long")).alias(f"all{f}"))]
+    counts = materialise(train.groupBy("w").agg(*each), "counts")
+    total = lambda kind: sum((F.col(f"{kind}{f}") for f in range(FOLDS)), F.lit(0))
+    several = counts.filter(total("all") > 1)
+    clean = several.agg(*[F.sum(F.col(f"all{f}") - F.col(f"bad{f}")).alias(f"c{f}") for f in range(FOLDS)]).first()
+    parts = [(total("bad"), total("all"), n_bad.sum(), n_good.sum())] + [(total("bad") - F.col(f"bad{f}"), total("all") - F.col(f"all{f}"), n_bad.sum() - n_bad[f], n_good.sum() - n_good[f]) for f in range(FOLDS)]
+    clear = [_apart(b, a, float(n1), float(n0)) >= ROUGH for b, a, n1, n0 in parts]
+    likely = materialise(several.filter(F.greatest(*clear)), "likely")
+    found = likely.orderBy("w").collect()  # no more than the bounded sample's distinct tokens
+    words = [r["w"] for r in found]
+    seen = dict.fromkeys(words, 0) | {r["w"]: r["seen"] for r in documents_with(docs, words, text).collect()}
+    column = lambda kind: np.array([[r[f"{kind}{f}"] for f in range(FOLDS)] for r in found], dtype=float).reshape(len(found), FOLDS)
+    return TokenCounts(words, column("bad"), column("all"), np.array([seen[w] for w in words], dtype=float), docs.count(), n_bad, n_all, np.array([clean[f"c{f}"] or 0 for f in range(FOLDS)], dtype=float))
+
+
+def fit_weights(counts: TokenCounts, without: int | None = None) -> ToxicModel:
+    """Log-odds of the tokens with a clear difference, and lambda; ``without`` leaves out a fold's rows."""
+    use = np.array([f != without for f in range(FOLDS)])
+    bad, all_ = counts.bad[:, use].sum(axis=1), counts.all[:, use].sum(axis=1)
+    n1 = counts.n_bad[use].sum()
+    n0, clean = counts.n_all[use].sum() - n1, max(1.0, counts.clean[use].sum())
     # informative prior: pseudo-documents that hold a token as often as the corpus does
-    a = prior * F.col("seen") / float(docs.count()) + 0.01
-    y1, y0 = F.col("bad") + a, F.col("all") - F.col("bad") + a
-    odds = F.log(y1 / (n1 + prior + 1 - y1)) - F.log(y0 / (n0 + prior + 1 - y0))
-    scored = counted.select("w", "all", "bad", odds.alias("d"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).filter((F.abs("z") >= min_z) & (F.abs("d") >= min_odds))
-    chosen = scored.orderBy(F.abs("z").desc(), "w").limit(vocabulary).collect()  # at most ``vocabulary`` rows
-    d = np.array([r["d"] for r in chosen])
-    p = np.array([r["all"] - r["bad"] for r in chosen]) / clean_tokens
+    a = PRIOR * counts.seen / max(1, counts.n_docs) + 0.01
+    y1, y0 = bad + a, all_ - bad + a
+    odds = np.log(y1 / (n1 + PRIOR + 1 - y1)) - np.log(y0 / (n0 + PRIOR + 1 - y0))
+    z = odds / np.sqrt(1 / y1 + 1 / y0)
+    chosen = np.flatnonzero((all_ > 1) & (np.abs(z) >= MIN_Z) & (np.abs(odds) >= MIN_ODDS))
+    d, p = odds[chosen], (all_ - bad)[chosen] / clean
     rest = max(0.05, 1 - float(p.sum()))
     # what all other words weigh keeps the mean of clean text well below zero
-    model = ToxicModel(weights={r["w"]: float(r["d"]) for r in chosen}, other=-max(0.15, 2 * float((p * np.maximum(d, 0)).sum()) / rest))
+    model = ToxicModel(weights=dict(zip([counts.words[k] for k in chosen], d.tolist(), strict=True)), other=-max(0.15, 2 * float((p * np.maximum(d, 0)).sum()) / rest))
     if (d > 0).any():
-        scores, weight = np.append(d, model.other), np.append(np.maximum(p, 0.5 / clean_tokens), rest)
-        model.lam = moment_root(scores, weight / weight.sum())
+        weight = np.append(np.maximum(p, 0.5 / clean), rest)
+        model.lam = moment_root(np.append(d, model.other), weight / weight.sum())
     return model
 
 
@@ -248,16 +292,22 @@ def documents_with(docs: DataFrame, tokens: list[str], text: str = "text") -> Da
     return counted.groupBy("w").agg(F.sum("seen").alias("seen"))
 
 
-def score_rows(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, evidence, n_passages``."""
+def score_rows(docs: DataFrame, model: ToxicModel, fold_models: list[ToxicModel] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, evidence, n_passages, apart``: apart is the evidence by the model without the row's ``fold``, null for rows without one."""
 
     def run(batches):
         known = word_scores(model)
+        others = [(m, word_scores(m)) for m in fold_models or ()]
         for batch in batches:
-            found = [evidence(model, words_of(t.as_py()), known) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(x) for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "evidence", "n_passages"])
+            found, apart = [], []
+            for t, fold in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = words_of(t.as_py())
+                found.append(evidence(model, words, known))
+                apart.append(float(evidence(others[fold][0], words, others[fold][1])[0]) if fold is not None and others else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(x) for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64()), pa.array(apart, pa.float64())], names=["doc_id", "evidence", "n_passages", "apart"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, evidence double, n_passages long")
+    fold = F.col("fold") if fold_models else F.lit(None).cast("int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), fold.alias("fold")).mapInArrow(run, "doc_id long, evidence double, n_passages long, apart double")
 
 
 def toxic_passages(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,34 +328,55 @@ def toxic_passages(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", t
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, first_word long, end_word long, excess double, words string")
 
 
-def fit_chance(train: DataFrame, model: ToxicModel) -> ToxicModel:
-    """K of the extreme-value law: clean rows' mean of n exp(-lambda S), as for a Gumbel law of that scale."""
-    lam = model.lam
-    model.k = 1.0
-    clean = score_rows(train.filter("y = 0").select("doc_id", "text"), model)
-    # with K = 1 evidence is lambda S - ln n, or sums of such; its Gumbel location gives ln K
-    row = clean.filter(F.col("n_passages") <= 1).filter(F.col("evidence") > model.low).agg(F.avg(F.exp(-F.col("evidence")))).first()
-    model.k = float(np.clip(1.0 / row[0], 1e-6, 1e3)) if row[0] else 0.1
-    model.lam = lam
-    return model
+def fit_chance(train: DataFrame, model: ToxicModel, fold_models: list[ToxicModel]) -> None:
+    """K of the extreme-value law of each model: clean rows' mean of n exp(-lambda S), as for a Gumbel law of that scale.
+
+    The models of folds are fitted on the rows that they weren't learned from.
+    """
+    models = [model, *fold_models]
+    for m in models:
+        m.k = 1.0  # evidence is then lambda S - ln n, or sums of such; its Gumbel location gives ln K
+
+    def run(batches):
+        caches = [word_scores(m) for m in models]
+        total, n = np.zeros(len(models)), np.zeros(len(models))
+        for batch in batches:
+            for t, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = words_of(t.as_py())
+                for k in (0, fold + 1):
+                    x, passages_ = evidence(models[k], words, caches[k])
+                    if passages_ <= 1 and x > models[k].low:
+                        total[k] += math.exp(-x)
+                        n[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), pa.array(total), pa.array(n)], names=["k", "total", "n"])
+
+    clean = train.filter("y = 0").select(F.col("text").cast("binary").alias("text"), "fold").mapInArrow(run, "k long, total double, n double")
+    for r in clean.groupBy("k").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect():  # a row per model
+        models[r["k"]].k = float(np.clip(r["n"] / r["total"], 1e-6, 1e3)) if r["total"] else 0.1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, vocabulary: int = 50_000, bound: int = 200_000) -> DataFrame:
+def bin_of(value) -> Column:
+    """The bin of an evidence: bins are even in asinh(evidence), fine near chance, wide far beyond it."""
+    first, last = math.asinh(ToxicModel.low), math.asinh(1e6)
+    return F.least(F.greatest(F.floor((F.asinh(value) - first) / ((last - first) / BINS)), F.lit(0)), F.lit(BINS - 1)).cast("int")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, bound: int = 200_000) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence, n_passages`` for each row of ``docs``."""
     known = known_labels(labels, bound, doc_id, label)
-    model = learn_weights(docs, known, vocabulary, doc_id=doc_id, text=text)
+    counts = token_counts(docs, known, doc_id, text)
+    model, folds = (fit_weights(counts), [fit_weights(counts, f) for f in range(FOLDS)]) if counts else (ToxicModel(), [])
+    if model.weights:
+        fit_chance(_training(docs, known, doc_id, text), model, folds)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id", "left")
+    scored = materialise(score_rows(rows.select("doc_id", "text", "fold"), model, folds), "evidence")
     if model.weights:
-        model = fit_chance(_training(docs, known, doc_id, text), model)
-    scored = materialise(score_rows(docs, model, doc_id, text), "evidence")
-    # bins are even in asinh(evidence): fine near chance, wide far beyond it
-    first, last = math.asinh(model.low), math.asinh(1e6)
-    place = F.least(F.greatest(F.floor((F.asinh("evidence") - first) / ((last - first) / BINS)), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    bins = scored.join(F.broadcast(known), "doc_id").groupBy(place.alias("bin")).agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).collect()  # at most BINS rows
-    good, rest = np.zeros(BINS), np.zeros(BINS)
-    for r in bins:
-        good[r["bin"]], rest[r["bin"]] = r["bad"], r["all"] - r["bad"]
-    model.probability = isotonic(good, rest).tolist() if model.weights else [0.0] * BINS
+        bins = scored.filter("apart IS NOT NULL").join(F.broadcast(known), "doc_id").groupBy(bin_of(F.col("apart")).alias("bin")).agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).collect()  # at most BINS rows
+        good, rest = np.zeros(BINS), np.zeros(BINS)
+        for r in bins:
+            good[r["bin"]], rest[r["bin"]] = r["bad"], r["all"] - r["bad"]
+        model.probability = isotonic(good, rest).tolist()
     # equal probabilities keep the order of their evidence
-    table = F.array(*[F.lit(float(p)) for p in model.probability])
+    table, place = F.array(*[F.lit(float(p)) for p in model.probability]), bin_of(F.col("evidence"))
     score = F.least(F.lit(1.0), F.get(table, place) * 0.999 + 0.001 * (place + 1) / (BINS + 1)) if model.weights else F.lit(0.0)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "evidence", "n_passages")
