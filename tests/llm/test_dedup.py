@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows
 from vecscore.llm import digest, lines, simhash
@@ -74,7 +75,7 @@ def test_large_tries_are_dealt_in_blocks(spark, m):
 
 
 def near(a, b):
-    if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 1:
+    if min(len(a), len(b)) < lines.MIN_WORDS or abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
@@ -116,13 +117,36 @@ def edited_lines(n=30):
     return out
 
 
-@pytest.mark.parametrize("most_keys", [1_000_000, 0])
-def test_lines_are_those_of_all_pairs(spark, most_keys):
+def test_lines_are_those_of_all_pairs(spark):
     docs = [(r[0], r[1]) for r in rows()] + edited_lines()
-    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), most_keys=most_keys).select("doc_id", "n_lines", "n_removed", "text")
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text")
     assert sorted(map(tuple, got.collect()), key=str) == brute_lines(docs)
 
 
+def test_hot_lines_and_keys_are_split(spark):
+    """With no table broadcast, the joins on the line that thousands share a deletion with are dealt out again at run time."""
+    docs = [(k, f"page {k} of the annual report on the state of the woods") for k in range(20_000)]
+    docs += [(100_000 + k, " ".join(f"own{k}w{j}" for j in range(9))) for k in range(2_000)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(64)
+        classes = lines.materialise(lines.line_classes(df), "classes")
+        rows = lines._variant_rows(lines._texts_of(lines.open_lines(classes, 5), df, "doc_id", "text"))
+        rows = lines.materialise(rows.repartition(16), "rows")  # a key can be split by the files that it comes from
+        earliest = lines.materialise(rows.filter("at >= 0").groupBy("k", "at").agg(F.min(F.struct("id", "dg", "pos", "h1", "h2")).alias("e")), "earliest")
+        joined = rows.filter("at >= 0").join(earliest, ["k", "at"])
+        assert len(joined.collect()) == rows.filter("at >= 0").count()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        got = lines.dedup_lines(df)
+        assert got.filter("n_removed = 0").count() == 1 + 2_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_line_dedup_keeps_columns(spark, odd, none):
     out = lines.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"] and out.count() == odd.count()

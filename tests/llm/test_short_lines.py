@@ -16,9 +16,8 @@ def short_near(a, b, least):
     return any(a[:p] + a[p + 1 :] == b for p in range(len(a)))
 
 
-@pytest.mark.parametrize("most_keys", [1_000_000, 0])
 @pytest.mark.parametrize("min_words", [2, 5, 7, 8, 12])
-def test_lines_below_eight_words(spark, min_words, most_keys):
+def test_lines_below_eight_words(spark, min_words):
     texts = []
     for n, k in itertools.product(range(1, 13), range(4)):
         w = [f"n{n // 4}w{j}" for j in range(n)]
@@ -27,5 +26,5 @@ def test_lines_below_eight_words(spark, min_words, most_keys):
         texts.append(" ".join(w))
     texts.append("这一行没有空格")
     gone = {j for j in range(len(texts)) for i in range(j) if texts[i] == texts[j] or short_near(texts[i].split(), texts[j].split(), min_words)}
-    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=min_words, most_keys=most_keys)
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=min_words)
     assert {r["doc_id"] for r in got.filter("n_removed = 1").collect()} == gone

@@ -2,9 +2,10 @@
 
 Lines are compared by their words (white space folded, A to Z in lower case). Two
 lines match if they are equal, or if both have at least ``min_words`` words and one
-word inserted, deleted or replaced turns one into the other. A line goes if any
-earlier line (by doc_id, then place) matches it; the rule is about the lines as
-they were read, so it doesn't depend on the order of work.
+word inserted, deleted or replaced turns one into the other. The default of 5 words is
+where such an edit leaves four fifths of a line. A line goes if any earlier line (by
+doc_id, then place) matches it; the rule is about the lines as they were read, so it
+doesn't depend on the order of work.
 
 The join: each distinct line emits its hash and those of its one-word deletions. A
 line and a deletion that are equal are an insertion apart; two deletions that are
@@ -15,20 +16,19 @@ the words of each such pair are then compared.
 Most lines match nothing. One edit leaves the first or the last ``a`` words as they
 are, a being about half of them; only lines that share such a half with a different
 line emit deletions, and only at the places outside the shared half. Of the
-deletions, only those whose hash comes up in different lines are joined. Both
-sets of shared hashes are broadcast while they have at most ``most_keys`` entries
-(8 bytes each); beyond that they aren't used, and all lines and deletions go
-through the joins: more work, the same result.
+deletions, only those whose hash comes up in different lines are joined. Both filters
+are joins with written tables of keys, whatever their number: the planner sends such a
+table to all tasks if it is small, and else splits a key of many rows.
 
 Defined results: blank lines never match and stay where their text stays as it is;
-a text that loses every line becomes empty; null texts stay null; rows alike in
-doc_id and text are one document and lose like lines; other columns are kept.
+a text that loses every line becomes empty; null texts stay null; a null doc_id comes
+before all others; rows alike in doc_id and text are one document and lose like lines; of
+equal ids the smaller text hash is earlier; lines of any length are compared whole; an
+empty table gives an empty table; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from vecscore.llm.common import SPACES, ascii_lower, boxed, materialise, unboxed
 
+#: An edit of one word in so many leaves four fifths of a line.
+MIN_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15  # odd: the polynomial's base, modulo 2**64
 
 
@@ -44,7 +46,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def half_keys(words: list[bytes], min_words: int = 8) -> list[tuple[int, int, int]]:
+def half_keys(words: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(hash, first, end) of the line's halves, and the places that an edit may have if the half is shared.
 
     Lines one edit apart have the same ``a`` for at least one of their levels. Below
@@ -99,104 +101,108 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
 
 
 def _flat(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dg"), F.col(text).cast("binary").alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1 << 63)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("dg"), F.col(text).cast("binary").alias("text"))
+
 
+def line_classes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per distinct line: ``h1, h2``, ``first`` (id, dg, pos of its first place), its number of words ``n`` and the hashes of its halves.
+
+    ``k0`` to ``k3`` are hashes of the first and last words as in :func:`half_keys`, null where there are fewer
+    and in lines below ``min_words``.
+    """
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 4
+    names = ["h1", "h2", "id", "dg", "pos", "n", "k0", "k1", "k2", "k3"]
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct line: ``h1, h2`` and ``first`` (id, dg, pos of its first place)."""
-    schema = pa.schema([("id", pa.int64()), ("dg", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    def row(id_, dg, pos, words):
+        keys = [k for k, *_ in half_keys(words, min_words)] if len(words) >= min_words else []
+        return (*line_hash(words), id_, dg, pos, len(words), *keys, *[None] * (4 - len(keys)))
 
     def run(batches):
+        schema = pa.schema(list(zip(names, kinds, strict=True)))
         for batch in batches:
-            yield from _batches(((i, dg, pos, *line_hash(words)) for i, dg, pos, _, words in _lines_of(batch)), schema)
+            yield from _batches((row(i, dg, pos, words) for i, dg, pos, _, words in _lines_of(batch)), schema)
 
-    rows = _flat(docs, doc_id, text).mapInArrow(run, "id long, dg long, pos int, h1 long, h2 long")
-    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"))
+    rows = _flat(docs, doc_id, text).mapInArrow(run, "h1 long, h2 long, id long, dg long, pos int, n int, k0 long, k1 long, k2 long, k3 long")
+    rest = [F.first(c).alias(c) for c in names[5:]]
+    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"), *rest)
 
 
-def _shared(rows: DataFrame, most: int) -> np.ndarray | None:
-    """The keys of ``rows`` (k, h1) that different lines have, sorted; None if they are more than ``most``."""
-    keys = materialise(rows.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("k"), "shared_keys")
-    if keys.count() > most:
-        return None
-    return np.sort(keys.toArrow().column("k").to_numpy().astype(np.int64))
+def _shared(rows: DataFrame) -> DataFrame:
+    """The keys of ``rows`` (k, h1) that different lines have, as a written table."""
+    return materialise(rows.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("k"), "shared_keys")
 
 
-def _has(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(some), dtype=bool)
-    return keys[np.minimum(np.searchsorted(keys, some), len(keys) - 1)] == some
+def _halves(classes: DataFrame, min_words: int) -> DataFrame:
+    """``k, h1, h2, low, high`` of each half: an edit of lines that share it is at one of the places [low, high)."""
+    a = (F.lit(4) * F.floor(F.col("n") / 8)).cast("int")
 
+    def half(k: str, low, high):
+        return F.struct(F.col(k).alias("k"), low.cast("int").alias("low"), high.cast("int").alias("high"))
 
-def _half_rows(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    schema = pa.schema([("k", pa.int64()), ("h1", pa.int64())])
+    n, zero = F.col("n"), F.lit(0)
+    each = F.array(half("k0", a, n), half("k1", zero, n - a), half("k2", a - 4, n), half("k3", zero, n - a + 4))
+    # without words in a half, all lines share it: see _open_lines
+    return classes.filter(F.col("n") >= min_words).select("h1", "h2", F.explode(each).alias("x")).select("x.k", "h1", "h2", "x.low", "x.high").filter("k IS NOT NULL AND high - low > 0")
 
-    def run(batches):
-        for batch in batches:
-            yield from _batches(((k, line_hash(words)[0]) for *_, words in _lines_of(batch) if len(words) >= min_words for k, *_ in half_keys(words, min_words)), schema)
 
-    return _flat(docs, doc_id, text).mapInArrow(run, "k long, h1 long")
+def _is_short(min_words: int):
+    """Lines with an empty half: all of their places may be edited."""
+    return (F.col("n") < 8) | ((F.col("n") == 8) & F.lit(min_words < 8))
 
 
-def _maybe_lines(docs: DataFrame, halves: np.ndarray | None, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """``h1, h2, first, line, places`` of the distinct lines that share a half; places are [first, end) of possible edits."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("dg", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("line", pa.binary())])
-    given = None if halves is None else docs.sparkSession.sparkContext.broadcast(halves)
+def open_lines(classes: DataFrame, min_words: int) -> DataFrame:
+    """``h1, h2, first, low, high`` of the distinct lines that may match another: those that share a half, and those too short for halves."""
+    long_ = classes.filter(~_is_short(min_words))
+    halves = _halves(long_, min_words)
+    shared = _shared(halves.select("k", "h1"))
+    hits = halves.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hits = materialise(hits, "hits")
+    found = long_.select("h1", "h2", "first").join(hits, ["h1", "h2"])
+    short = classes.filter(_is_short(min_words) & (F.col("n") >= min_words)).select("h1", "h2", "first", F.lit(0).alias("low"), F.col("n").alias("high"))
+    return found.unionByName(short)
 
-    def run(batches):
-        for batch in batches:
-            rows = (x for x in _lines_of(batch) if len(x[4]) >= min_words)
-            while part := list(islice(rows, 4096)):  # a batch's lines as lists of words would be many times its size
-                if given is None:
-                    out = ((*line_hash(w), i, dg, pos, 0, len(w), line) for i, dg, pos, line, w in part)
-                else:
-                    keys = [half_keys(w, min_words) for *_, w in part]
-                    hit = iter(_has(given.value, np.fromiter((k for x in keys for k, *_ in x), dtype=np.int64)).tolist())
-                    found = [[(a, b) for _, a, b in x if next(hit)] for x in keys]
-                    out = ((*line_hash(w), i, dg, pos, min(a for a, _ in f), max(b for _, b in f), line) for (i, dg, pos, line, w), f in zip(part, found, strict=True) if f)
-                yield from _batches(out, schema)
-
-    rows = _flat(docs, doc_id, text).mapInArrow(run, "h1 long, h2 long, id long, dg long, pos int, low int, high int, line binary")
-    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("line").alias("line"))
-
-
-def _variant_rows(lines: DataFrame, keep: np.ndarray | None) -> DataFrame:
-    """``k, at, h1, h2, id, dg, pos``: at is -1 for the line itself, else the place of the deleted word; of the keys in ``keep``."""
+
+def _texts_of(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``h1, h2, id, dg, pos, low, high, line``: each line's bytes, out of the document of its first place."""
+    place = F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "low", "high")
+    asked = materialise(lines.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list(place).alias("asked")), "asked")
+    found = _flat(docs, doc_id, text).join(asked, ["id", "dg"])
+    at = found.withColumn("l", F.split(F.col("text").cast("string"), "\n")).select("id", "dg", "l", F.explode("asked").alias("x"))
+    rows = at.select("x.h1", "x.h2", "id", "dg", "x.pos", "x.low", "x.high", F.get("l", F.col("x.pos")).cast("binary").alias("line"))
+    return rows.dropDuplicates(["h1", "h2"])  # rows alike in id and text each have the line
+
+
+def _variant_rows(lines: DataFrame) -> DataFrame:
+    """``k, at, h1, h2, id, dg, pos``: at is -1 for the line itself, else the place of the deleted word."""
     names = ["k", "at", "h1", "h2", "id", "dg", "pos"]
-    given = None if keep is None else lines.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches):
         for batch in batches:
             cols = [batch.column(k).to_numpy() for k in range(5)]
             low, high = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-            for begin in range(0, batch.num_rows, 256):
+            for begin in range(0, batch.num_rows, 256):  # a batch's lines as lists of words would be many times its size
                 keys, at = [], []
                 for i in range(begin, min(batch.num_rows, begin + 256)):
                     all_ = variants(batch.column(7)[i].as_py().lower().split())
                     keys.append(np.append(all_[:1], all_[1 + low[i] : 1 + high[i]]))
                     at.append(np.append([-1], np.arange(low[i], high[i])))
                 of = np.repeat(np.arange(begin, begin + len(keys)), [len(x) for x in keys])
-                k, at = np.concatenate(keys), np.concatenate(at).astype(np.int32)
-                if given is not None:
-                    ok = _has(given.value, k)
-                    k, at, of = k[ok], at[ok], of[ok]
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), *[pa.array(c[of]) for c in cols]], names=names)
-
-    flat = lines.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.dg").alias("dg"), F.col("first.pos").alias("pos"), "low", "high", "line")
-    return flat.mapInArrow(run, "k long, at int, h1 long, h2 long, id long, dg long, pos int")
-
-
-def near_matches(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h1, h2`` of the distinct lines that an earlier line matches by one edit."""
-    halves = _shared(_half_rows(docs, min_words, doc_id, text), most_keys)
-    lines = materialise(_maybe_lines(docs, halves, min_words, doc_id, text), "lines")
-    keep = _shared(_variant_rows(lines, None).select("k", "h1"), most_keys)
-    rows = materialise(_variant_rows(lines, keep), "variants")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(at).astype(np.int32)), *[pa.array(c[of]) for c in cols]], names=names)
+
+    return lines.select("h1", "h2", "id", "dg", "pos", "low", "high", "line").mapInArrow(run, "k long, at int, h1 long, h2 long, id long, dg long, pos int")
+
+
+def near_matches(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``h1, h2`` of the distinct lines that an earlier line matches by one edit. ``classes``: a written :func:`line_classes`."""
+    lines = materialise(_texts_of(open_lines(classes, min_words), docs, doc_id, text), "lines")
+    every = _variant_rows(lines)
+    shared = _shared(every.select("k", "h1"))
+    rows = materialise(every.join(shared, "k", "left_semi"), "variants")
     order = F.struct("id", "dg", "pos")
-    # a replacement: the earliest line of each (deletion, place)
+    # a replacement: the earliest line of each (deletion, place); written, so that a hot key's rows can be split in the join
     deleted = rows.filter("at >= 0")
     earliest = deleted.groupBy("k", "at").agg(F.min(F.struct("id", "dg", "pos", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "at", "e")
+    earliest = materialise(earliest, "earliest")
     replaced = deleted.join(earliest, ["k", "at"]).filter(order > F.struct("e.id", "e.dg", "e.pos")).select("h1", "h2", "at", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("at").alias("e_at"))
     # an insertion: the one line equal to a deletion of the others
     whole = rows.filter("at < 0").select("k", F.struct("id", "dg", "pos", "h1", "h2").alias("w"))
@@ -205,7 +211,7 @@ def near_matches(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000
     inserted = inserted.select(
         F.when(later, F.col("h1")).otherwise(F.col("w.h1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("w.h2")).alias("h2"), F.when(later, F.col("at")).otherwise(F.lit(-1)).alias("at"),
         F.when(later, F.col("w.h1")).otherwise(F.col("h1")).alias("e1"), F.when(later, F.col("w.h2")).otherwise(F.col("h2")).alias("e2"), F.when(later, F.lit(-1)).otherwise(F.col("at")).alias("e_at"))
-    pairs = replaced.unionByName(inserted).distinct()
+    pairs = materialise(replaced.unionByName(inserted).distinct(), "pairs")
     # the hashes proposed the pairs; the words decide
     words = lines.select("h1", "h2", F.split(F.btrim(ascii_lower(F.col("line").cast("string")), F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("w"))
     pairs = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("w").alias("e_w")), ["e1", "e2"])
@@ -216,14 +222,14 @@ def near_matches(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000
     return pairs.filter(F.expr(f"{without('w', 'at')} = {without('e_w', 'e_at')}")).filter(F.least(F.size("w"), F.size("e_w")) >= min_words).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, most_keys: int = 4_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the kept lines in ``text``, and ``n_lines``, ``n_removed`` (lines with a word)."""
-    classes = line_classes(docs, doc_id, text)
-    near = materialise(near_matches(docs, max(1, min_words), most_keys, doc_id, text), "near_lines")
+    classes = materialise(line_classes(docs, max(1, min_words), doc_id, text), "classes")
+    near = materialise(near_matches(docs, classes, max(1, min_words), doc_id, text), "near_lines")
     stay = classes.join(near, ["h1", "h2"], "left_anti")
     places = stay.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list("first.pos").alias("kept"))
     own = F.col(text)
-    out = boxed(docs, id=F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), dg=F.xxhash64(F.coalesce(own, F.lit("")))).join(places, ["id", "dg"], "left")
+    out = boxed(docs, id=F.coalesce(F.col(doc_id).cast("long"), F.lit(-1 << 63)), dg=F.xxhash64(F.coalesce(own, F.lit("")))).join(places, ["id", "dg"], "left")
     out = out.withColumn("text", F.col("row").getField(text))  # after the shuffle, which holds each text once
     out = out.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     out = out.withColumn("blank", F.expr("filter(transform(lines, (x, i) -> IF(btrim(x, ' \\t\\n\\u000b\\f\\r') = '', i, -1)), i -> i >= 0)"))

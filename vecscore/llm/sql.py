@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import math
 import re
 
-from vecscore.llm.licenses import PHRASES, TEMPLATES
+from vecscore.llm.licenses import PHRASES, TEMPLATES, block_length, needed
+from vecscore.llm.lines import MIN_WORDS
 from vecscore.llm.quality import LineLimits
 from vecscore.llm.urls import PATTERNS, RULES
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-def license_sql(window: int = 64, threshold: float = 0.8) -> str:
-    half = window // 2
+def license_sql(threshold: float = 0.8) -> str:
+    words_of = lambda words: f"[{', '.join(f"'{w}'" for w in words)}]::VARCHAR[]"
     rows = []
-    for label, words in TEMPLATES:
-        tokens = sorted(set(words.split()))
-        need = math.ceil(threshold * len(tokens) - 1e-9)
-        rows.append(f"('{label}', [{', '.join(f"'{w}'" for w in tokens)}], {need})")
+    for label, must, never, wording in TEMPLATES:
+        tokens = sorted(set(wording.split()))
+        rows.append(f"('{label}', {words_of(tokens)}, {words_of(must.split())}, {words_of(never.split())}, {needed(tokens, threshold)}, {block_length(wording.split())})")
     phrases = ", ".join(f"('{label}', [{', '.join(f"'{w}'" for w in phrase.split())}])" for phrase, label in PHRASES.items())
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -27,13 +26,14 @@ place AS (
   SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d WHERE len(w) > 0) x, phrase
   WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY doc_id),
-template(label, tokens, need) AS (VALUES {', '.join(rows)}),
+template(label, tokens, must, never, need, size) AS (VALUES {', '.join(rows)}),
+likely AS (SELECT doc_id, w, template.* FROM d, template WHERE list_has_all(w, must)),
 block AS (
-  SELECT doc_id, list_distinct(w[b * {half} + 1 : b * {half} + {window}]) AS words
-  FROM (SELECT doc_id, w, unnest(range(0, 1 + greatest(0, CAST(ceil((len(w) - {window}) / {half}.0) AS BIGINT)))) AS b FROM d WHERE len(w) > 0)),
+  SELECT doc_id, label, tokens, must, never, need, list_distinct(w[i + 1 : i + size]) AS words
+  FROM (SELECT *, unnest(range(0, len(w))) AS i FROM likely) WHERE list_contains(tokens, w[i + 1])),
 hit AS (
   SELECT doc_id, label, len(list_intersect(words, tokens)) / len(tokens)::DOUBLE AS share
-  FROM block, template WHERE len(list_intersect(words, tokens)) >= need),
+  FROM block WHERE len(list_intersect(words, tokens)) >= need AND list_has_all(words, must) AND NOT list_has_any(words, never)),
 label AS (SELECT doc_id, label, 1.0::DOUBLE AS share, true AS is_base FROM place UNION ALL SELECT doc_id, label, share, false FROM hit),
 labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
@@ -102,7 +102,7 @@ FROM f
 """
 
 
-def line_dedup_sql(min_words: int = 8) -> str:
+def line_dedup_sql(min_words: int = MIN_WORDS) -> str:
     return rf"""
 WITH line AS (
   SELECT doc_id, l, pos, regexp_extract_all(translate(l, {_AZ}), '[^\x20\x09-\x0D]+') AS w
