@@ -30,21 +30,55 @@ def test_license_places_and_labels(spark, odd, none):
     assert licenses.license_scan(none).count() == 0
 
 
-def test_license_blocks_are_those_of_all_pairs(spark):
-    base = licenses.TEMPLATES[2][1].split()
+def brute_blocks(text):
+    """Every block of every template, by all starts: (label, start, end, share)."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+    out = set()
+    for label, must, never, wording in licenses.TEMPLATES:
+        tokens, size = set(wording.split()), licenses.block_length(wording.split())
+        for k in range(len(w)):
+            block = set(w[k : k + size])
+            if w[k] in tokens and len(block & tokens) >= 0.8 * len(tokens) - 1e-9 and set(must.split()) <= block and not set(never.split()) & block:
+                out.add((label, k, min(len(w), k + size), round(len(block & tokens) / len(tokens), 9)))
+    return out
+
+
+def test_license_blocks_are_those_of_all_starts(spark):
     texts = []
-    for k in range(40):
-        words = [f"z{k}{i}" for i in range(7 * k)] + [w if (i + k) % (3 + k % 9) else f"q{i}" for i, w in enumerate(base)] + [f"y{i}" for i in range(k)]
+    for k in range(60):
+        base = licenses.TEMPLATES[k % len(licenses.TEMPLATES)][3].split()
+        words = [f"z{k}{i}" for i in range(7 * k % 90)] + [w if (i + k) % (3 + k % 9) else f"q{i}" for i, w in enumerate(base)] + [f"y{i}" for i in range(k)]
         texts.append((k, " ".join(words)))
-    got = {r["doc_id"]: round(r["score"], 9) for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string"), phrases={}).collect()}
-    for k, t in texts:
-        w = t.split()
-        n = 1 + max(0, -(-(len(w) - 64) // 32))
-        best = 0.0
-        for b in range(n):
-            own = set(w[b * 32 : b * 32 + 64])
-            best = max([best, *(s for _, x in licenses.TEMPLATES if (s := len(own & set(x.split())) / len(set(x.split()))) >= 0.8 - 1e-9)])
-        assert got[k] == round(best, 9)
+    texts += [(100, " ".join(x[3] for x in licenses.TEMPLATES)), (101, None), (102, "license " * 5000)]
+    _, blocks = licenses.license_blocks(spark.createDataFrame(texts, "doc_id long, text string"), phrases={})
+    got = defaultdict(set)
+    for r in blocks.collect():
+        got[int(r["_id"])].add((r["label"], r["start"], r["end"], round(r["share"], 9)))
+    assert got == {k: found for k, t in texts if (found := brute_blocks(t))} and len(got) > 20
+
+
+def labels_of(spark, texts):
+    return [r["labels"] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_rival_labels(spark):
+    wordings = dict((label, wording) for label, _, _, wording in reversed(licenses.TEMPLATES))
+    cases = {
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY-NC-SA 4.0": "cc-by",
+        "This work is licensed under the GNU General Public License version 2": "gpl", "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        wordings["lgpl-any"]: "lgpl-any", wordings["agpl-any"]: "agpl-any", wordings["gpl-any"]: "gpl,gpl-any", wordings["cc-by-4.0"]: "cc-by-4.0", wordings["cc-by-sa-4.0"]: "cc-by-sa-4.0",
+        wordings["isc"]: "isc", wordings["mpl-2.0"]: "mpl-2.0", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0", "Released under the MIT License.": "mit,mit-terms",
+        # the words of a notice scattered in another text
+        "The album was released in May under a new name. Its license is the Apache License, they say, and nobody under the age of nine may play it": "apache",
+        "Under the stars the license of the driver was released": "", "released " + "filler " * 5 + "under the mit license": "mit,mit-terms",
+    }
+    assert labels_of(spark, list(cases)) == list(cases.values())
+
+
+def test_odd_rows_of_a_license_scan(spark):
+    rows_ = [(1, "mit license", "x", 1, "y"), (1, "mit license", "x", 1, "y"), (1, "cc by", "z", 2, "y"), (None, "mit license", "x", 1, "y"), (None, None, None, None, None)]
+    got = licenses.license_scan(spark.createDataFrame(rows_, "doc_id long, text string, labels string, _w int, _known string"))
+    assert sorted(((r["doc_id"], r["base_labels"], r["n_base"]) for r in got.collect()), key=str) == sorted([(1, "mit", 1), (1, "mit", 1), (1, "cc-by", 1), (None, "mit", 1), (None, "", 0)], key=str)
 
 
 CONTROL = ["", "hi", "<|im_end|>", "<|im_start|>assistant\nx", "\\", "\\|", "<\\|", "<|", "a\\<|b\\\\|", "\n", "naïve 名前", "x" * 300]
@@ -86,6 +120,23 @@ def test_chat_windows_keep_the_budget(spark):
     assert chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversations_and_turns(spark):
+    """30,000 turns, a turn far beyond the budget, and columns named as the operator's own; in time that follows the number of turns."""
+    import time
+
+    many = spark.range(30_000).selectExpr("7L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('word ', id, ' and ', id * 7) AS text", "1 AS n", "'x' AS p", "2 AS i", "'y' AS _t")
+    long_ = spark.createDataFrame([(8, 0, "system", "be kind", 1, "x", 2, "y"), (8, 1, "user", "word " * 50_000, 1, "x", 2, "y"), (8, 2, "assistant", "ok", 1, "x", 2, "y")], many.schema)
+    began = time.time()
+    got = {r["conv_id"]: r for r in chat.digests(chat.read_back(chat.chat_windows(many.unionByName(long_)))).collect()}
+    assert time.time() - began < 60
+    turns = [(7, k, "user" if k % 2 == 0 else "assistant", f"word {k} and {k * 7}") for k in range(30_000)] + [(8, 0, "system", "be kind"), (8, 1, "user", "word " * 50_000), (8, 2, "assistant", "ok")]
+    want = plain(turns)
+    for c in (7, 8):
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == want[c]
+    # a turn has 4 words and 3 marks: 146 fill a window, of which two are repeated from the second window on
+    assert got[7]["n_windows"] == -(-30_000 // 146) and got[8]["n_windows"] == 3
+
+
 def norm(line):
     return re.sub("[0-9]+", "0", " ".join(SPACE.findall(line.lower())))
 
