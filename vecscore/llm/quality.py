@@ -47,7 +47,9 @@ def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_w", space_words(F.col(text)))
-    out = out.withColumn("_h", F.expr("IF(size(_w) < 9, array(), transform(sequence(0, size(_w) - 8), i -> xxhash64(_w[i], _w[i+1], _w[i+2], _w[i+3], _w[i+4], _w[i+5], _w[i+6], _w[i+7])))"))
+    # each word is hashed once, a window as eight of these: little work and a shallow expression for each word
+    out = out.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    out = out.withColumn("_h", F.expr("IF(size(_h) < 9, array(), transform(sequence(1, size(_h) - 7), i -> xxhash64(slice(_h, i, 8))))"))
     out = out.withColumn("_rep", F.expr("size(array_distinct(_h)) < size(_h)"))
     out = out.withColumn("_s", F.expr("IF(_rep, array_sort(transform(sequence(0, size(_w) - 8), i -> struct(array_join(slice(_w, i + 1, 8), ' ') AS k, i AS i))), NULL)"))
     out = out.withColumn("_p", F.expr("array_sort(transform(filter(_s, (x, j) -> get(_s, j - 1).k <=> x.k OR get(_s, j + 1).k <=> x.k), x -> x.i))"))
@@ -74,10 +76,14 @@ def _host(host: Column) -> Column:
     return F.coalesce(F.concat(F.lit("h"), host.cast("string")), F.lit(""))
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     """``doc_id, text, _id, _host, _digest``: rows alike in the last three have like lines removed."""
     return docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id), F.lit(-1)).alias("_id"), _host(F.col(host)).alias("_host"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_digest"),
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id), F.lit(-1)).alias("_id"), _host(F.col(host)).alias("_host"), _digest(text).alias("_digest"),
     )
 
 
@@ -89,15 +95,14 @@ def _line_rows(keyed: DataFrame) -> DataFrame:
     return lines.select("_id", "_host", "_digest", "_pos", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit("line"), "_norm").alias("_h2"), (F.octet_length("_norm") - F.octet_length(F.replace("_norm", F.lit(" "), F.lit(""))) + 1).alias("_nw"))
 
 
-def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+def frequent_lines(keyed: DataFrame, line_rows: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """``_host, _h1, _h2, n_docs`` of the lines above their host's limit.
 
     Both counts are over distinct (host, text) pairs, first combined on the map
     side, so that neither a hot host nor a hot line meets in one task as raw rows.
     A host with D texts of k lines has at most k / share of such lines.
     """
-    keyed = _keyed(docs, doc_id, text, host)
-    counts = _line_rows(keyed).select("_host", "_h1", "_h2", "_digest").distinct().groupBy("_host", "_h1", "_h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > limits.floor)
+    counts = line_rows.select("_host", "_h1", "_h2", "_digest").distinct().groupBy("_host", "_h1", "_h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > limits.floor)
     hosts = keyed.select("_host", "_digest").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     return counts.join(hosts, "_host").filter(F.col("n_docs") > F.greatest(F.lit(float(limits.floor)), limits.share * F.col("_texts"))).select("_host", "_h1", "_h2", "n_docs")
 
@@ -108,13 +113,16 @@ _KEY = ["_id", "_host", "_digest"]
 def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """A row per row of ``docs``: its id, the base counts, ``removed_words``, ``removed_lines`` (their places), ``base_failed`` and ``kept``.
 
-    The counts are written before anything is filtered by them: an optimizer that
-    pushed such a filter down would count the windows of each text again and again.
+    The lines' hashes are written once, for the counts and for the search of frequent
+    lines. The base counts are written before anything is filtered by them: an optimizer
+    that pushed such a filter down would count the windows of each text again and again.
     """
-    over = materialise(frequent_lines(docs, limits, doc_id, text, host), "frequent_lines")
-    hits = _line_rows(_keyed(docs, doc_id, text, host)).join(over, ["_host", "_h1", "_h2"])
+    keyed = _keyed(docs, doc_id, text, host)
+    line_rows = materialise(_line_rows(keyed), "line_rows")
+    over = materialise(frequent_lines(keyed, line_rows, limits), "frequent_lines")
+    hits = line_rows.join(over, ["_host", "_h1", "_h2"])
     removed = hits.select(*_KEY, "_pos", "_nw").distinct().groupBy(*_KEY).agg(F.sum("_nw").alias("removed_words"), F.array_sort(F.collect_list("_pos")).alias("removed_lines"))
-    features = document_features(_keyed(docs, doc_id, text, host))
+    features = document_features(keyed)
     features = materialise(features.select("doc_id", *_KEY, *FEATURES, "base_failed"), "features")
     out = features.join(removed, _KEY, "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
@@ -126,7 +134,7 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: st
 def without_frequent_lines(docs: DataFrame, ruled: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, their frequent lines taken out of ``text``."""
     kept = ruled.filter("kept").select(*_KEY, F.col("removed_lines").alias("gone")).dropDuplicates(_KEY)
-    own = {"_id": F.coalesce(F.col(doc_id), F.lit(-1)), "_host": _host(F.col(host)), "_digest": F.md5(F.coalesce(F.col(text), F.lit("")))}
+    own = {"_id": F.coalesce(F.col(doc_id), F.lit(-1)), "_host": _host(F.col(host)), "_digest": _digest(text)}
     joined = boxed(docs, **own).join(kept, _KEY).withColumn("text", F.col("row").getField(text))  # the shuffle holds each text once
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
     return unboxed(joined, docs, **{text: cleaned})
