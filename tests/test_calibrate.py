@@ -39,9 +39,9 @@ def test_grid_and_unlabelled_rows(spark, tmp_path):
     found = api.calibrate_threshold(spark, str(tmp_path / "s"), str(tmp_path / "l"), n_thresholds=11)
     assert found.thresholds[0] == pytest.approx(0.1) and found.thresholds[-1] == 0.95
     assert found.f1 == 1 and 0.4 - 1e-9 < found.th <= 0.65
-    with pytest.raises(ValueError, match="No labeled rows"):
+    with pytest.raises(ValueError, match="no score has a label"):
         api.calibrate(scores(spark, [0.5]), spark.createDataFrame([("other", 1)], "id string, label int"))
-    with pytest.raises(ValueError, match="labels_parquet"):
+    with pytest.raises(ValueError, match="labels need id and label"):
         api.calibrate(scores(spark, [0.5]), spark.createDataFrame([("S0",)], "id string"))
 
 

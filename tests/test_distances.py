@@ -9,7 +9,7 @@ import yaml
 from vecscore import api
 from vecscore.operators import area, cosine
 from vecscore.operators.relational import distances
-from vecscore.project import read_dataset, scored_dir
+from vecscore.project import Project, read_dataset, read_embeddings, scored_dir
 
 SIX = [("R1", [1.0, 0.1], "reference"), ("R2", [1.2, -0.1], "reference"), ("R3", [0.8, 0.05], "reference"), ("R4", [1.1, 0.0], "reference"), ("C1", [1.0, 0.0], "corpus"), ("C2", [-1.0, 0.2], "corpus")]
 
@@ -59,15 +59,15 @@ def test_matrix_of_a_project(spark, project):
 
 
 @pytest.mark.parametrize("rows,message", [
-    (SIX + [("C1", [0.5, 0.5], "corpus")], "Duplicate ids found in corpus"),
-    (SIX + [("R1", [0.5, 0.5], "reference")], "Duplicate ids found in reference"),
-    (SIX + [("Z", [0.0, 0.0], "corpus")], "Corpus partition contains zero-norm"),
-    (SIX + [("Z", [0.0, 0.0], "reference")], "Reference partition contains zero-norm"),
-    (SIX + [("Z", [float("nan"), 0.0], "corpus")], "non-finite"),
+    (SIX + [("C1", [0.5, 0.5], "corpus")], "corpus_label 'corpus' has several"),
+    (SIX + [("R1", [0.5, 0.5], "reference")], "reference_label 'reference' has several"),
+    (SIX + [("Z", [0.0, 0.0], "corpus")], "corpus_label 'corpus' have no direction"),
+    (SIX + [("Z", [0.0, 0.0], "reference")], "reference_label 'reference' have no direction"),
+    (SIX + [("Z", [float("nan"), 0.0], "corpus")], "not finite"),
     ([x for x in SIX if x[2] == "corpus"], "reference_label"),
     ([x for x in SIX if x[2] == "reference"], "corpus_label"),
-    ([("R1", [1.0, 0.0], "reference"), ("R2", [-1.0, 0.0], "reference"), ("C1", [1.0, 0.0], "corpus")], "Reference centroid has zero norm"),
-    ([("R1", [1.0, 0.0], "reference"), ("C1", [1.0, 0.0], "corpus"), ("C2", [-1.0, 0.0], "corpus")], "Corpus centroid has zero norm"),
+    ([("R1", [1.0, 0.0], "reference"), ("R2", [-1.0, 0.0], "reference"), ("C1", [1.0, 0.0], "corpus")], "reference vectors cancel"),
+    ([("R1", [1.0, 0.0], "reference"), ("C1", [1.0, 0.0], "corpus"), ("C2", [-1.0, 0.0], "corpus")], "corpus vectors cancel"),
 ])
 def test_cosine_refuses(spark, rows, message):
     with pytest.raises(ValueError, match=message):
@@ -87,9 +87,30 @@ def test_blocks_of_references_give_the_same_pairs(spark, monkeypatch):
     sides = [cosine.unit_vectors(cosine.label_vectors(df, x)) for x in ("corpus", "reference")]
     whole = {(r[0], r[1]): r[2] for r in cosine.cosine_pairs(*sides).collect()}
     monkeypatch.setattr(cosine, "BLOCK_BYTES", 8 * 2 * 7)
+    monkeypatch.setattr(cosine, "SIDE", 9)
     assert {(r[0], r[1]): r[2] for r in cosine.cosine_pairs(*sides).collect()} == pytest.approx(whole)
 
 
+def test_case_of_ids_and_of_the_session(spark):
+    df = frame(spark, [("r", [1.0, 0.1], "reference"), ("R", [0.5, 0.5], "reference"), ("C1", [0.0, 1.0], "corpus")])
+    before = spark.conf.get("spark.sql.caseSensitive")
+    assert list(cosine.pairs_to_pandas(cosine.reference_cosine(df, "corpus", "reference")).columns) == ["id", "R", "r", "centroid"]
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+
+
+def test_distances_to_two_references_lie_side_by_side(spark, project):
+    first = api.distance_ridge(spark, project, regularization=0.01)
+    was = {r["id"]: r["area_distance"] for r in read_dataset(spark, first).collect()}
+    folder = Project(spark, project).resolve_model_dir()[0]
+    again = read_embeddings(spark, folder).filter("label = 'reference'")
+    again.filter("id <> 'W1'").drop("label", "batch").write.parquet(f"{folder}/label=fewer/batch=1")
+    second = api.distance_ridge(spark, project, reference_label="fewer", regularization=0.01)
+    assert first != second and first.endswith("/corpus_label=corpus/reference_label=reference") and second.endswith("/corpus_label=corpus/reference_label=fewer") and "/distance_ridge/model_id=" in first
+    assert {r["id"]: r["area_distance"] for r in read_dataset(spark, first).collect()} == was
+    other = {r["id"]: r["area_distance"] for r in read_dataset(spark, second).collect()}
+    assert set(other) == set(was) and other != was
+
+
 def test_area_distances_and_scores(spark, project):
     out = api.distance_ridge(spark, project, regularization=0.01)
     rows = read_dataset(spark, out).collect()
@@ -114,12 +135,12 @@ def test_area_fit_against_numpy(spark):
 
 
 def test_area_of_one_row_and_of_a_line(spark):
-    with pytest.warns(UserWarning, match="diagonal covariance fallback"):
+    with pytest.warns(UserWarning, match="no covariance"):
         model = area.fit_reference_area(frame(spark, SIX[:1]))
     assert model.mu == [1.0, 0.1] and np.allclose(model.sigma_inv, np.eye(2) / (1 + 1e-6))
-    with pytest.raises(ValueError, match="Could not invert"):
+    with pytest.raises(ValueError, match="singular"):
         area.fit_reference_area(frame(spark, [(f"R{k}", [float(k), 2.0 * k], "reference") for k in range(4)]), regularization=1e-30)
-    with pytest.raises(ValueError, match="Non-finite"):
+    with pytest.raises(ValueError, match="aren't finite"):
         area.fit_reference_area(frame(spark, [*SIX, ("R9", [float("inf"), 0.0], "reference")]))
 
 
@@ -134,7 +155,7 @@ def test_scores_of_tables(spark):
 
 
 def test_bad_area_tables(spark, tmp_path):
-    for name, rows, message in (("nan", [("A", float("nan"))], "non-finite"), ("none", [], "No rows found")):
+    for name, rows, message in (("nan", [("A", float("nan"))], "aren't finite"), ("none", [], "no distances")):
         spark.createDataFrame(rows, "id string, area_distance double").write.parquet(str(tmp_path / name))
         with pytest.raises(ValueError, match=message):
             api.score_ridge(spark, str(tmp_path / name))
@@ -146,6 +167,30 @@ def test_natural_join(spark):
     assert sorted(r["id"] for r in distances(a, b).collect()) == ["W2", "W3"]
 
 
+def test_projections_of_next_to_nothing(spark):
+    df = frame(spark, two_clusters()).drop("label")
+    for n in (0, 1):
+        some = df.limit(n)
+        for points in (api.pca_projection(some, {"x": ["W1"]}), api.umap_projection(some, {"x": ["W1"]})):
+            rows = points.collect()
+            assert len(rows) == n and all((r[1], r[2]) == (0.0, 0.0) for r in rows)
+    assert api.umap_projection(df.limit(2), n_epochs=3).count() == 2
+
+
+def test_layout_keeps_clusters_apart(spark):
+    from vecscore.operators import projection
+
+    a, b = projection.curve_of(0.1)
+    assert a == pytest.approx(1.577, abs=0.02) and b == pytest.approx(0.895, abs=0.01)  # the published fit
+    i, j, w = projection.fuzzy_graph(np.array([[1, 2], [0, 2], [0, 1]]), np.array([[0.1, 0.2], [0.1, 0.3], [0.2, 0.3]]))
+    assert list(zip(i, j, strict=True)) == [(0, 1), (0, 2), (1, 2)] and w[0] == pytest.approx(1) and (w <= 1).all()
+    points = api.umap_projection(frame(spark, two_clusters()).drop("label"), n_neighbors=8, n_epochs=100).toPandas()
+    side = points["id"].isin([f"W{k}" for k in range(1, 41)]).to_numpy()
+    y = points[["U1", "U2"]].to_numpy()
+    apart = np.linalg.norm(y[:, None] - y[None], axis=2) + np.diag(np.full(len(y), np.inf))
+    assert (side[apart.argmin(axis=1)] == side).mean() >= 0.9  # nearly every point's nearest is of its own cluster
+
+
 def test_projections(spark):
     df = frame(spark, two_clusters()).drop("label")
     points = api.pca_projection(df, {"reference": ["W1", "W2"], "corpus": ["W41"]}).toPandas()

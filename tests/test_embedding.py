@@ -69,7 +69,7 @@ def test_preprocessors_are_checked(spark, root):
     api.embed_corpus(spark, root, LOCAL, text_preprocessor=own)
     assert "extra" in read_embeddings(spark, Project(spark, root).model_dir(LOCAL.model)).columns
     for bad, message in (
-        (lambda df: df, "must contain columns"), (lambda df: own(df).unionByName(own(df)), "duplicated ids"), (lambda df: own(df).withColumn("id", F.lit("new")), "not present"), (lambda df: 3, "must return"),
+        (lambda df: df, "rows lack"), (lambda df: own(df).unionByName(own(df)), "more than one prepared row"), (lambda df: own(df).withColumn("id", F.lit("new")), "doesn't have"), (lambda df: 3, "not a DataFrame"),
     ):
         with pytest.raises(ValueError, match=message):
             api.embed_corpus(spark, root, LOCAL, text_preprocessor=bad)
@@ -79,7 +79,7 @@ def test_preprocessors_are_checked(spark, root):
         api.embed_corpus(spark, root + "/none", LOCAL)
     write_corpus(spark, root, [("W1", "Alpha", "A")], "bad")
     read_dataset(spark, f"{root}/bad").drop("title").write.parquet(f"{root}/worse")
-    with pytest.raises(ValueError, match="must contain columns: title"):
+    with pytest.raises(ValueError, match="lacks .*title"):
         api.embed_corpus(spark, root, LOCAL, corpus_name="worse")
 
 
@@ -91,6 +91,110 @@ def test_stream_embeds_what_arrives(spark, root):
     assert shards(spark, root) == {1: ["W1", "W2"], 2: ["W3"]}
 
 
+def test_stream_takes_the_newest_file_or_refuses(spark, root):
+    import os
+    import time
+
+    write_corpus(spark, root, [("W1", "Alpha", "old"), ("W2", "Beta", "B"), ("W2", "Beta", "B")])
+    before = time.time() - 100
+    for f in Path(root, "corpus").glob("*.parquet"):
+        os.utime(f, (before, before))
+    write_corpus(spark, root, [("W1", "Alpha", "new")], mode="append")
+    api.stream_embeddings(spark, root, LOCAL).awaitTermination(120)
+    folder = Project(spark, root).label_dir(LOCAL.model, "corpus")
+    got = {r["id"]: r["text"] for r in read_dataset(spark, folder).collect()}
+    assert set(got) == {"W1", "W2"} and got["W1"].startswith("Title: Alpha") and "old" not in got["W1"]
+    project = Project(spark, root)
+    tied = spark.createDataFrame([("W9", "a", "b"), ("W9", "a", "c")], "id string, title string, abstract string")
+    from vecscore.streaming.incremental import embed_increment
+
+    with pytest.raises(ValueError, match="more than one prepared row"):
+        embed_increment(tied, project, LOCAL, "corpus")
+
+
+def test_providers_get_portions(spark):
+    seen = []
+
+    class Counting(providers.LocalProvider):
+        @classmethod
+        def embed(cls, texts, c):
+            if len(texts) > 7:
+                raise ValueError(f"{len(texts)} at once")
+            return super().embed(texts, c)
+
+    providers.register("counting", Counting)
+    try:
+        backend = providers.BackendConfig("counting", "local://", "hashed-words-8")
+        rows = spark.range(100).selectExpr("cast(id AS string) AS id", "concat('text ', id) AS text").coalesce(1)
+        assert providers.embed_frame(rows, backend, portion=7).count() == 100 and not seen
+    finally:
+        del providers.PROVIDERS["counting"]
+
+
+def test_state_survives_a_broken_write(spark, root):
+    """Wherever a write stops, a reader finds the old text or the new one."""
+    files = Project(spark, root).files
+    path = f"{root}/state.json"
+    files.write_text(path, "one")
+    files.write_text(path, "two")
+    assert files.read_text(path) == "two" and files.children(root) == [x for x in files.children(root) if x in ("state.json", ".state.json.crc")]
+
+    class Stopped(Exception):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    for step in ("rename", "_replace"):
+        old = getattr(files, step)
+        setattr(files, step, stop)
+        with pytest.raises(Stopped):
+            files.write_text(path, "three")
+        setattr(files, step, old)
+        assert files.read_text(path) == "two" and files.exists(path)
+    # a store that deletes before it renames, stopped between the two
+    files.write_text(path + ".ready", "four")
+    files.delete(path)
+    assert files.exists(path) and files.read_text(path) == "four"
+    files.write_text(path, "five")
+    assert files.read_text(path) == "five"
+
+
+def test_a_broken_prune_loses_no_vector(spark, root, monkeypatch):
+    write_corpus(spark, root, [(f"W{k}", "Alpha", f"A abstract {k}") for k in range(6)])
+    api.embed_corpus(spark, root, LOCAL)
+    project = Project(spark, root)
+    folder = project.label_dir(LOCAL.model, "corpus")
+    first = {r["id"]: r["V1"] for r in read_dataset(spark, folder).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(embed, "prune_superseded", lambda *_: 0)
+        write_corpus(spark, root, [("W0", "Changed", None), ("W1", "Changed too", None)] + [(f"W{k}", "Alpha", f"A abstract {k}") for k in range(2, 6)])
+        api.embed_corpus(spark, root, LOCAL)
+
+    class Stopped(Exception):
+        pass
+
+    for step, after in (("rename", 0), ("delete", 1), ("delete", 2)):
+        calls = []
+
+        def stop(*args, old=getattr(type(project.files), step), after=after, calls=calls):
+            calls.append(args)
+            if len(calls) > after + (1 if step == "delete" else 0):  # the first deletion is of an older run's leavings
+                raise Stopped
+            return old(project.files, *args)
+
+        with monkeypatch.context() as m:
+            m.setattr(project.files, step, stop)
+            with pytest.raises(Stopped):
+                embed.prune_superseded(spark, project, folder)
+        rows = read_dataset(spark, folder, merge=True).collect()
+        assert {r["id"] for r in rows} == set(first)
+        assert all(any(r["id"] == i and r["V1"] == v for r in rows) for i, v in first.items() if i not in ("W0", "W1"))
+    embed.prune_superseded(spark, project, folder)
+    assert shards(spark, root) == {1: ["W2", "W3", "W4", "W5"], 2: ["W0", "W1"]}
+    assert embed.prune_superseded(spark, project, folder) == 0
+
+
 def test_demo_runs_end_to_end(spark, tmp_path):
     rows = spark.createDataFrame([(f"D{k:02}", f"Title {k}", ("plants and soil " if k % 2 else "atoms and fields ") * 6) for k in range(12)], "id string, title string, abstract string")
     out = api.run_demo(spark, str(tmp_path / "d"), rows, rows.filter("id > 'D08'"), LOCAL, max_corpus=8, render=True)
@@ -156,7 +260,7 @@ def test_retries(service, monkeypatch):
     waits = []
     Service.fail = 2
     assert http.with_retry(lambda: http.post_json(f"{service}/x", {"inputs": ["a"]}), 3, waits.append) == [[1.0, 1.0]] and waits == [1, 2]
-    with pytest.raises(RuntimeError, match="failed after retries: no"):
+    with pytest.raises(RuntimeError, match="given up after 2 attempts: no"):
         http.with_retry(lambda: (_ for _ in ()).throw(OSError("no")), 1, waits.append)
 
 
@@ -167,11 +271,11 @@ def test_provider_arguments(spark, tmp_path):
     assert api.backend_specter2_tei(9000, "host").base_url == "http://host:9000/embed"
     with pytest.raises(ValueError, match="port"):
         api.backend_specter2_tei(-1)
-    with pytest.raises(ValueError, match="inconsistent"):
+    with pytest.raises(ValueError, match="differ in length"):
         providers.as_matrix([[1.0], [1.0, 2.0]])
-    with pytest.raises(ValueError, match="Unsupported embedding"):
+    with pytest.raises(ValueError, match="not with a list of vectors"):
         providers.as_matrix({"a": 1})
-    for answer, message in (({}, "did not contain"), ({"data": 3}, "unsupported shape"), ({"data": [{"x": 1}]}, "did not include")):
+    for answer, message in (({}, "no data"), ({"data": 3}, "not a list"), ({"data": [{"x": 1}]}, "no embedding")):
         with pytest.raises(ValueError, match=message):
             providers.OpenAiProvider.vectors(answer)
     path = str(tmp_path / "b.yaml")
@@ -179,7 +283,7 @@ def test_provider_arguments(spark, tmp_path):
     api.backend_save(spark, backend, path)
     assert api.backend_read(spark, path) == backend
     assert providers.parse_backend({"backend": {"provider": "hf", "model": "m"}}).model == "m" and providers.parse_backend({"tei_url": "http://x/embed"}).provider == "tei"
-    with pytest.raises(ValueError, match="recognized"):
+    with pytest.raises(ValueError, match="neither a provider"):
         providers.parse_backend({"a": 1})
 
 
@@ -188,7 +292,9 @@ def test_label_forms(spark, tmp_path):
     (tmp_path / "l.csv").write_text("id,label\na,x\nb,y\n")
     for given in (str(tmp_path / "l.csv"), {"a": "x", "b": "y"}, {"x": ["a"], "y": ["b"]}, spark.createDataFrame([("a", "x"), ("b", "y")], "id string, label string")):
         assert {r["id"]: r["group"] for r in with_group(points, resolve_labels(spark, given)).collect()} == {"a": "x", "b": "y", "c": "other"}
-    with pytest.raises(ValueError, match="duplicated ids"):
+    blank = resolve_labels(spark, spark.createDataFrame([("a", "x"), (None, "y"), ("", "y"), ("b", None), ("c", " ")], "id string, label string"))
+    assert [tuple(r) for r in blank.collect()] == [("a", "x")] and resolve_labels(spark, {"a": None, "": "x"}).count() == 0
+    with pytest.raises(ValueError, match="several labels"):
         resolve_labels(spark, {"x": ["a"], "y": ["a"]})
     assert sorted(r["id"] for r in sample_rows(points, 2).collect()) == sorted(r["id"] for r in sample_rows(points.repartition(3), 2).collect())
 

@@ -18,4 +18,4 @@ def test_area_queries_use_every_dimension(spark, tmp_path):
     joined = {x["id"]: x["area_distance"] for x in registry.QUERIES["natural_join_distances_full"](spark, str(tmp_path)).collect()}
     assert set(scored) == set(joined) == set(area)
     for k, d in area.items():
-        assert scored[k] == pytest.approx((d, np.exp(-0.5 * d))) and joined[k] == pytest.approx(d)
+        assert scored[k] == pytest.approx((d, np.exp(-0.05 * d)), abs=1e-6) and joined[k] == pytest.approx(d, abs=1e-6)

@@ -14,7 +14,7 @@ def vector_columns(columns: list[str]) -> list[str]:
     """Names V1, V2, ... in numeric order; none is an error."""
     found = sorted((c for c in columns if _V.match(c)), key=lambda c: int(c[1:]))
     if not found:
-        raise ValueError("No embedding columns (V1..Vd) found in dataset.")
+        raise ValueError("no column V1, V2, ... holds a vector's numbers")
     return found
 
 

@@ -48,9 +48,9 @@ def below(df: DataFrame, value: str, sorted_values: list[float], name: str = "bu
 def labelled(scores: DataFrame, labels: DataFrame, score_col: str = "relevance_score") -> DataFrame:
     """``score, label`` of scored rows with a finite score and a label; ids that repeat multiply."""
     if not {"id", score_col} <= set(scores.columns):
-        raise ValueError(f"`scores_parquet` must contain columns `id` and `{score_col}`.")
+        raise ValueError(f"scores need id and {score_col}; this table has {scores.columns}")
     if not {"id", "label"} <= set(labels.columns):
-        raise ValueError("`labels_parquet` must have columns: id, label")
+        raise ValueError(f"labels need id and label; this table has {labels.columns}")
     own = labels.select(F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label")).filter("label IS NOT NULL")
     rows = scores.select(F.col("id").cast("string").alias("id"), F.col(score_col).cast("double").alias("score"))
     return rows.filter(is_finite(F.col("score"))).join(own, "id").select("score", "label")
@@ -79,7 +79,7 @@ def threshold_grid(rows: DataFrame, n_thresholds: int = 1001) -> list[float]:
     """Evenly spaced from the least to the largest labelled score."""
     low, high = rows.agg(F.min("score"), F.max("score")).first()
     if low is None or high is None:
-        raise ValueError("No labeled rows found in scores dataset.")
+        raise ValueError("no score has a label")
     grid = np.linspace(low, high, int(n_thresholds))
     grid[-1] = high
     return grid.tolist()
@@ -96,7 +96,7 @@ def best_row(curve: list, metric: str, recall_min: float) -> int:
 
 def calibrate(scores: DataFrame, labels: DataFrame, score_col: str = "relevance_score", metric: str = "f1", recall_min: float = 0.8, thresholds: list[float] | None = None, n_thresholds: int = 1001) -> Calibration:
     if metric not in METRICS:
-        raise ValueError(f"`metric` must be one of: {', '.join(METRICS)}")
+        raise ValueError(f"metric {metric!r} is unknown; there are {METRICS}")
     rows = labelled(scores, labels, score_col)
     given = [float(t) for t in thresholds] if thresholds is not None else threshold_grid(rows, n_thresholds)
     curve = sorted(threshold_curve(rows, given).collect(), key=lambda r: r["i"])  # a row per threshold
@@ -109,5 +109,5 @@ def calibrate(scores: DataFrame, labels: DataFrame, score_col: str = "relevance_
 def calibrate_threshold(spark: SparkSession, scores_parquet: str, labels_parquet: str, score_col: str = "relevance_score", **options) -> Calibration:
     scores_parquet = required_text("scores_parquet", scores_parquet)
     if not labels_parquet:
-        raise ValueError("`labels_parquet` is required and must be a valid dataset path.")
+        raise ValueError("labels_parquet is empty")
     return calibrate(read_dataset(spark, scores_parquet), read_dataset(spark, labels_parquet), score_col, **options)

@@ -35,9 +35,9 @@ class CleanRules:
 
     def __post_init__(self):
         if self.mode not in MODES:
-            raise ValueError(f"`mode` must be one of: {', '.join(MODES)}")
+            raise ValueError(f"mode {self.mode!r} is unknown; there are {MODES}")
         if self.no_abstract_policy not in POLICIES:
-            raise ValueError(f"`no_abstract_policy` must be one of: {', '.join(POLICIES)}")
+            raise ValueError(f"no_abstract_policy {self.no_abstract_policy!r} is unknown; there are {POLICIES}")
 
     def limits(self) -> tuple[int, float]:
         chars, ratio = MODES[self.mode]
@@ -59,12 +59,9 @@ def cleaned_columns(df: DataFrame, rules: CleanRules) -> DataFrame:
         "_html": any_pattern(low, given(rules.html_patterns, HTML)),
     })
     short, twice = F.col("_n") < chars, F.col("_n") < 2 * chars
-    # the last reason that holds is the one told
-    reasons = [("html_artifact_short", F.col("_html") & twice), ("boilerplate_short", F.col("_boilerplate") & twice), ("low_alpha_ratio", F.col("_ratio") < ratio), ("too_short", short),
-               ("placeholder", F.col("_placeholder")), ("empty_after_clean", F.col("_empty")), ("missing_abstract", F.col("_missing"))]
-    told = F.lit("")
-    for name, holds in reversed(reasons):
-        told = F.when(holds, F.lit(name)).otherwise(told)
+    # of several reasons the one that stands first is told
+    told = F.when(F.col("_html") & twice, "html_artifact_short").when(F.col("_boilerplate") & twice, "boilerplate_short").when(F.col("_ratio") < ratio, "low_alpha_ratio").when(short, "too_short")
+    told = told.when(F.col("_placeholder"), "placeholder").when(F.col("_empty"), "empty_after_clean").when(F.col("_missing"), "missing_abstract").otherwise("")
     df = df.withColumn("discard_reason", told)
     title_ok = (F.length("cleaned_title") >= TITLE_CHARS) & (alpha_ratio(F.col("cleaned_title")) >= TITLE_RATIO)
     no_abstract = {"keep_title_only": F.lit(True), "discard": F.lit(False), "conditional": title_ok}[rules.no_abstract_policy]
@@ -79,7 +76,7 @@ def clean_abstract_for_embedding(df: DataFrame, return_flags: bool = True, **opt
     """``id, text, text_hash`` and, unless turned off, the flags. Rows without id or text go."""
     missing = [c for c in ("id", "title", "abstract") if c not in df.columns]
     if missing:
-        raise ValueError("`df` must contain columns: " + ", ".join(missing))
+        raise ValueError(f"the table to clean lacks {missing}")
     rules = CleanRules(**options)
     named = df.select(normal_space(F.col("id")).alias("id"), "title", "abstract").filter("id <> ''")
     out = cleaned_columns(named, rules)

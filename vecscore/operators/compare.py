@@ -13,7 +13,7 @@ def compare_embeddings(direct: DataFrame, batch: DataFrame) -> DataFrame:
     if has_vector_columns(direct.columns) and has_vector_columns(batch.columns):
         common = [c for c in vector_columns(direct.columns) if c in batch.columns]
         if not common:
-            raise ValueError("Could not find common embedding columns (V1..Vd) for comparison.")
+            raise ValueError("the two sides share no vector column")
         direct, batch = direct.select("id", *common), batch.select("id", *common)
     a = to_array(direct).select("id", F.col("embedding").alias("a"))
     b = to_array(batch).select("id", F.col("embedding").alias("b"))
@@ -29,9 +29,9 @@ def checked_comparison(direct: DataFrame, batch: DataFrame, label: str = "corpus
     """The comparison and its summary, or an error if either side or the overlap is empty."""
     for name, side in (("Direct", direct), ("Batch", batch)):
         if side.limit(1).count() == 0:
-            raise ValueError(f"{name} embeddings are empty for label `{label}`.")
+            raise ValueError(f"{name.lower()} side of label {label!r}: no vectors")
     rows = compare_embeddings(direct, batch)
     summary = compare_summary(rows).first().asDict()
     if not summary["matched_ids"]:
-        raise ValueError("No overlapping ids between direct and batch embeddings.")
+        raise ValueError("no id is on both sides")
     return rows, summary

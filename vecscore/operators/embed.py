@@ -14,6 +14,7 @@ from vecscore.operators.cleaning import clean_abstract_for_embedding, parse_text
 from vecscore.operators.relational import changed_rows, keep_newest
 from vecscore.project import Project, path_part, read_dataset, required_text
 from vecscore.sources.providers import BackendConfig, backend_info, embed_frame
+from vecscore.staging import materialise
 
 
 def utc_now() -> str:
@@ -24,28 +25,32 @@ def read_corpus(spark: SparkSession, project: Project, corpus_name: str) -> Data
     df = read_dataset(spark, project.path(corpus_name), strict=True)
     missing = [c for c in ("id", "title", "abstract") if c not in df.columns]
     if missing:
-        raise ValueError("Dataset must contain columns: " + ", ".join(missing))
+        raise ValueError(f"corpus {corpus_name!r} lacks {missing}")
     return df.select(F.trim(F.col("id").cast("string")).alias("id"), "title", "abstract")
 
 
 def prepare_rows(corpus: DataFrame, text_preprocessor: Callable | None = None, cleaner_args: dict | None = None) -> DataFrame:
-    """Checked ``id, text, text_hash`` and extra columns of the preprocessor; ids are checked over the whole corpus."""
+    """Checked ``id, text, text_hash`` and extra columns of the preprocessor; ids are checked over the whole corpus.
+
+    The rows are written once: whoever counts, compares or embeds them doesn't clean the texts again.
+    """
     if cleaner_args is not None and not isinstance(cleaner_args, dict):
-        raise ValueError("`cleaner_args` must be a list.")
+        raise ValueError(f"cleaner_args is a dict of arguments, not {type(cleaner_args).__name__}")
     run = text_preprocessor or clean_abstract_for_embedding
     if not callable(run):
-        raise ValueError("`text_preprocessor` must be a function.")
+        raise ValueError(f"text_preprocessor can't be called: {run!r}")
     df = run(corpus, **(cleaner_args or {}))
     if not isinstance(df, DataFrame):
-        raise ValueError("`text_preprocessor` must return a data frame.")
+        raise ValueError(f"text_preprocessor gave {type(df).__name__}, not a DataFrame")
     missing = [c for c in ("id", "text", "text_hash") if c not in df.columns]
     if missing:
-        raise ValueError("`text_preprocessor` output must contain columns: " + ", ".join(missing))
+        raise ValueError(f"text_preprocessor's rows lack {missing}")
     df = df.withColumn("id", F.trim(F.col("id").cast("string"))).filter("id IS NOT NULL AND id <> '' AND text IS NOT NULL AND text <> ''")
+    df = materialise(df, "prepared")
     if text_preprocessor is not None and df.join(corpus.select("id"), "id", "left_anti").limit(1).count():
-        raise ValueError("`text_preprocessor` returned ids not present in the input batch.")
+        raise ValueError("text_preprocessor made ids that the corpus doesn't have")
     if df.groupBy("id").count().filter("count > 1").limit(1).count():
-        raise ValueError("`text_preprocessor` output contains duplicated ids.")
+        raise ValueError("an id has more than one prepared row")
     return df
 
 
@@ -79,7 +84,7 @@ def write_shard(df: DataFrame, project: Project, label_dir: str) -> int:
     batch = project.next_batch(label_dir)
     dim = df.agg(F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("m")).first()
     if dim["d"] != dim["m"]:
-        raise ValueError("Backend returned vectors of inconsistent length.")
+        raise ValueError(f"vectors of {dim['m']} to {dim['d']} numbers can't share a shard")
     to_columns(df, dim["d"]).write.mode("errorifexists").parquet(f"{label_dir}/batch={batch}")
     return batch
 
@@ -87,31 +92,48 @@ def write_shard(df: DataFrame, project: Project, label_dir: str) -> int:
 def prune_superseded(spark: SparkSession, project: Project, label_dir: str) -> int:
     """Drop rows of older shards whose id a newer shard has; shards left empty go. Returns the rows dropped.
 
-    Each shard is rewritten beside itself and renamed; until then the old rows are
-    there, so a broken run leaves repeats but never loses a vector.
+    One pass over ids and shard numbers finds what is superseded; only shards with such rows
+    are rewritten. The kept rows join the shard's files before the old files go, so a
+    broken run leaves rows twice but never loses a vector; the next run tidies up.
     """
-    shards = sorted(int(x.removeprefix("batch=")) for x in project.files.children(label_dir) if x.startswith("batch="))
+    shards = [x for x in project.files.children(label_dir) if x.startswith("batch=")]
+    if not shards:
+        return 0
+    rows = read_dataset(spark, label_dir, merge=True).select(F.col("id").cast("string").alias("id"), F.col("batch").cast("int").alias("batch"))
+    per_id = rows.groupBy("id", "batch").agg(F.count(F.lit(1)).alias("n"))
+    newest = rows.groupBy("id").agg(F.max("batch").alias("newest"))
+    found = f"{label_dir}/.superseded.tmp"
+    project.files.delete(found)
+    per_id.join(newest, "id").filter("batch < newest OR n > 1").select("id", "n", (F.col("batch") < F.col("newest")).alias("gone"), "batch").write.partitionBy("batch").parquet(found)
     dropped = 0
-    for k, batch in enumerate(shards[:-1]):
-        path = f"{label_dir}/batch={batch}"
+    for shard in sorted(x for x in project.files.children(found) if x.startswith("batch=")):
+        path, here = f"{label_dir}/{shard}", spark.read.parquet(f"{found}/{shard}")
+        gone = here.filter("gone").select(F.col("id").alias("_gone"))
         own = read_dataset(spark, path)
-        newer = read_dataset(spark, label_dir, merge=True).select(F.col("id").cast("string").alias("id"), F.col("batch").cast("int").alias("batch")).filter(F.col("batch") > batch).select("id").distinct()
-        keep = own.join(newer, own["id"].cast("string") == newer["id"], "left_anti")
-        before, after = own.count(), keep.count()
-        if before == after:
-            continue
-        dropped += before - after
-        if after:
-            beside = f"{label_dir}/.batch={batch}.tmp"
-            project.files.delete(beside)
-            keep.write.parquet(beside)
-            project.files.delete(path)
-            project.files.rename(beside, path)
-        else:
-            project.files.delete(path)
+        keep = own.join(gone, own["id"].cast("string") == gone["_gone"], "left_anti").dropDuplicates(["id"])
+        dropped += here.agg(F.sum(F.when(F.col("gone"), F.col("n")).otherwise(F.col("n") - 1))).first()[0]
+        rewrite_shard(project, keep, path, f"{label_dir}/.{shard}.tmp")
+    project.files.delete(found)
     return dropped
 
 
+def rewrite_shard(project: Project, keep: DataFrame, path: str, beside: str) -> None:
+    """Replace a shard's files by those of ``keep``: written beside, moved in, and only then the old ones go; an empty shard goes as a whole."""
+    files = project.files
+    old = [x for x in files.children(path) if x.endswith(".parquet")]
+    files.delete(beside)
+    keep.write.parquet(beside)
+    if keep.sparkSession.read.parquet(beside).limit(1).count():
+        for name in files.children(beside):
+            if name.endswith(".parquet"):
+                files.rename(f"{beside}/{name}", f"{path}/{name}")
+        for name in old:
+            files.delete(f"{path}/{name}")
+    else:
+        files.delete(path)
+    files.delete(beside)
+
+
 def describe_preprocessor(run: Callable | None) -> str:
     return "clean_abstract_for_embedding" if run is None else getattr(run, "__name__", inspect.getmodule(run) and str(run) or "custom")
 
@@ -122,16 +144,16 @@ def embed_corpus(
 ) -> dict:
     """Embed the corpus's new and changed rows; a dry run only writes what would be done.
 
-    ``batch_size`` is the most rows of one Arrow batch that a provider gets at once.
+    ``batch_size`` is the most rows that a provider gets at once.
     """
     corpus_name, label = required_text("corpus_name", corpus_name), required_text("label", label or corpus_name)
     if not batch_size or batch_size <= 0:
-        raise ValueError("`batch_size` must be a positive number.")
+        raise ValueError(f"batch_size = {batch_size!r}: rows above 0 are needed")
     project = Project(spark, project_dir)
     corpus = read_corpus(spark, project, corpus_name)
     info = backend_info(backend)
     if not info["model_id"]:
-        raise ValueError("Could not determine model id from backend info.")
+        raise ValueError(f"provider {backend.provider!r} doesn't say which model it runs")
     label_dir = project.label_dir(info["model_id"], label)
     if delete_existing and not dry_run:
         project.files.delete(label_dir)
@@ -149,7 +171,7 @@ def embed_corpus(
     if n:
         tasks = max(1, min(n // batch_size + 1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
         extras = [c for c in changed.columns if c not in ("id", "text", "text_hash")]
-        rows = embed_frame(changed.repartition(tasks, "id"), backend)
+        rows = embed_frame(changed.repartition(tasks, "id"), backend, portion=int(batch_size))
         rows = rows.select("id", "text_hash", F.lit(backend.provider).alias("provider"), F.lit(info["model_id"]).alias("model_id"), F.lit(utc_now()).alias("created_at"), *(["text"] if save_text else []), *extras, "embedding")
         # vectors cost: they are written once as they come, and read back for the shard
         staged = f"{label_dir}/.staged.tmp"

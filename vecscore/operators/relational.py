@@ -10,7 +10,7 @@ def distances(prototype: DataFrame, area: DataFrame) -> DataFrame:
     """Inner join on all columns that both have; lazy."""
     common = [c for c in prototype.columns if c in area.columns]
     if not common:
-        raise ValueError("The tables have no common columns.")
+        raise ValueError(f"nothing to join on: {prototype.columns} and {area.columns}")
     return prototype.join(area, common, "inner")
 
 
@@ -43,7 +43,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataF
 
 
 def resolve_labels(spark: SparkSession, labels) -> DataFrame | None:
-    """``id, label`` from a DataFrame, a CSV path, {id: label} or {label: [ids]}."""
+    """``id, label`` from a DataFrame, a CSV path, {id: label} or {label: [ids]}; rows without an id or a label are passed over."""
     if labels is None:
         return None
     if isinstance(labels, DataFrame):
@@ -52,15 +52,15 @@ def resolve_labels(spark: SparkSession, labels) -> DataFrame | None:
         found = spark.read.csv(labels, header=True)
     elif isinstance(labels, dict):
         listed = any(isinstance(v, list | tuple | set) for v in labels.values())
-        pairs = [(str(i), str(k)) for k, v in labels.items() for i in v] if listed else [(str(k), str(v)) for k, v in labels.items()]
-        found = spark.createDataFrame(pairs, "id string, label string")
+        pairs = [(i, k) for k, v in labels.items() for i in v] if listed else list(labels.items())
+        found = spark.createDataFrame([tuple(None if x is None else str(x) for x in p) for p in pairs], "id string, label string")
     else:
-        raise ValueError("`labels` must be a DataFrame, a CSV path or a dict.")
+        raise ValueError(f"labels of type {type(labels).__name__}; a DataFrame, a CSV path or a dict is needed")
     if not {"id", "label"} <= set(found.columns):
-        raise ValueError("Label data must contain columns 'id' and 'label'.")
-    found = found.select(F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"))
+        raise ValueError(f"labels need id and label; these have {found.columns}")
+    found = found.select(F.trim(F.col("id").cast("string")).alias("id"), F.trim(F.col("label").cast("string")).alias("label")).filter("id <> '' AND label <> ''")  # nulls go too
     if found.groupBy("id").count().filter("count > 1").limit(1).count():
-        raise ValueError("Label mapping contains duplicated ids.")
+        raise ValueError("an id has several labels")
     return found
 
 

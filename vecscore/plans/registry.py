@@ -15,6 +15,7 @@ from vecscore.functions.vectors import similarity_cosine
 from vecscore.operators import area, batchjobs, calibrate, cleaning, compare, cosine, embed, projection, relational
 from vecscore.plans.sql import ORACLE_SQL  # noqa: F401
 from vecscore.sources.providers import backend_config, embed_frame
+from vecscore.staging import materialise
 
 REGULARIZATION = 0.1  # of the areas: with 1e-6 nearly all scores of these vectors are 0
 
@@ -121,20 +122,20 @@ def _scores(spark, sf_dir):
 
 def calibrate_curve(spark, sf_dir):
     rows = _scores(spark, sf_dir)
-    curve = calibrate.threshold_curve(rows, calibrate.threshold_grid(rows, 101))
+    curve = calibrate.threshold_curve(rows, calibrate.threshold_grid(rows))
     return _rounded(curve.select(F.col("i").cast("long").alias("i"), "threshold", "tp", "fp", "fn", "precision", "recall", "f1"), "threshold", "precision", "recall", "f1")
 
 
 def calibrate_f1(spark, sf_dir):
     rows = _scores(spark, sf_dir)
-    curve = calibrate.threshold_curve(rows, calibrate.threshold_grid(rows, 101))
+    curve = calibrate.threshold_curve(rows, calibrate.threshold_grid(rows))
     best = curve.orderBy(F.desc("f1"), "i").limit(1)
     return _rounded(best.select("threshold", "precision", "recall", "f1"), "threshold", "precision", "recall", "f1")
 
 
 def calibrate_precision_at_recall(spark, sf_dir):
     rows = _scores(spark, sf_dir)
-    curve = calibrate.threshold_curve(rows, calibrate.threshold_grid(rows, 101))
+    curve = calibrate.threshold_curve(rows, calibrate.threshold_grid(rows))
     value = F.when(F.col("recall") >= 0.8, F.col("precision")).otherwise(float("-inf"))
     best = curve.orderBy(value.desc(), "i").limit(1)
     return _rounded(best.select("threshold", "precision", "recall", "f1"), "threshold", "precision", "recall", "f1")
@@ -164,7 +165,7 @@ def area_distance_2d(spark, sf_dir):
 
 def area_distance_full(spark, sf_dir):
     df = vectors(spark, sf_dir)
-    return area.corpus_area_distance(df, area.fit_reference_area(df, "reference", REGULARIZATION))
+    return _rounded(area.corpus_area_distance(df, area.fit_reference_area(df, "reference", REGULARIZATION)), "area_distance")
 
 
 def area_score(spark, sf_dir):
@@ -174,32 +175,38 @@ def area_score(spark, sf_dir):
 
 
 def area_score_full(spark, sf_dir):
-    """As area_score, of whole vectors; SQL can't write the inverse."""
-    return area.area_score(area_distance_full(spark, sf_dir))
+    """As area_score, of whole vectors."""
+    df = vectors(spark, sf_dir)
+    found = area.corpus_area_distance(df, area.fit_reference_area(df, "reference", REGULARIZATION))
+    return _rounded(area.area_score(found, 0.05), "relevance_score", "area_distance")
+
+
+def _prepared(spark, sf_dir):
+    return cleaning.clean_abstract_for_embedding(documents_as_corpus(_table(spark, sf_dir, "documents")), mode="balanced")
 
 
-def _prepared(spark, sf_dir, lang=None):
-    docs = _table(spark, sf_dir, "documents")
-    docs = docs if lang is None else docs.filter(F.col("lang") == lang)
-    return cleaning.clean_abstract_for_embedding(documents_as_corpus(docs), mode="balanced")
+def _prepared_once(spark, sf_dir):
+    """The prepared rows, and those of them that are embedded already: the rows of English documents. The texts are cleaned once."""
+    prepared = materialise(_prepared(spark, sf_dir).select("id", "text", "text_hash"), "prepared")
+    english = _table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("id"))
+    return prepared, prepared.select("id", "text_hash").join(english, "id", "left_semi")
 
 
 def changed_rows(spark, sf_dir):
-    """The rows of English documents are embedded already."""
-    return relational.changed_rows(_prepared(spark, sf_dir), _prepared(spark, sf_dir, "en")).select("id", F.md5("text").alias("text_md5"))
+    return relational.changed_rows(*_prepared_once(spark, sf_dir)).select("id", F.md5("text").alias("text_md5"))
 
 
 def dry_run_preview(spark, sf_dir):
     corpus = documents_as_corpus(_table(spark, sf_dir, "documents"))
-    prepared = _prepared(spark, sf_dir)
-    rows = embed.dry_run_preview(corpus, prepared, relational.changed_rows(prepared, _prepared(spark, sf_dir, "en")))
+    prepared, existing = _prepared_once(spark, sf_dir)
+    rows = embed.dry_run_preview(corpus, prepared, relational.changed_rows(prepared, existing))
     return rows.select("id", F.md5("title_original").alias("title_md5"), F.md5("abstract_original").alias("abstract_md5"), "cleaned_title", F.md5("cleaned_abstract").alias("cleaned_md5"), F.md5("text").alias("text_md5"), "would_embed")
 
 
 def _generations(spark, sf_dir):
-    """Three shards: all vectors, those of labels 1 to 5, and those of label 5, with a value each."""
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label", F.col("embedding")[0].cast("double").alias("v"))
-    shard = lambda df, k: df.select("id", F.lit(k).alias("batch"), F.round(F.col("v") + k, 6).alias("v"))
+    """Three shards: all vectors, those of labels 1 to 5, and those of label 5, each vector as the sum of its numbers."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("v"))
+    shard = lambda df, k: df.select("id", F.lit(k).alias("batch"), F.round(F.col("v") + k, 4).alias("v"))
     return shard(rows, 1).unionByName(shard(rows.filter("label BETWEEN 1 AND 5"), 2)).unionByName(shard(rows.filter("label = 5"), 3))
 
 
@@ -243,13 +250,16 @@ def similarity_neighbours(spark, sf_dir):
 
 
 def batch_request_lines(spark, sf_dir):
-    return batchjobs.request_lines(_prepared(spark, sf_dir), "model-x").select("id", "custom_id", "request_line", "request_bytes")
+    """Size and digest of each request, its id's hash cut out: SQL has no such hash (tests compare it with xxhash's)."""
+    lines = batchjobs.request_lines(_prepared(spark, sf_dir), "model-x")
+    plain = F.regexp_replace("request_line", '"cid_[0-9a-f]{16}"', '"cid"')
+    return lines.select("id", F.length("custom_id").cast("long").alias("custom_id_chars"), F.md5(plain).alias("line_md5"), "request_bytes")
 
 
 def batch_job_plan(spark, sf_dir):
     lines = batchjobs.request_lines(_prepared(spark, sf_dir).select("id", "text", "text_hash"), "model-x")
-    plan = batchjobs.plan_jobs(lines, 100, 1 << 20)
-    return plan.groupBy("job").agg(F.count(F.lit(1)).alias("requests"), F.sum("request_bytes").alias("bytes"))
+    plan = batchjobs.plan_jobs(materialise(lines.select("id", "request_bytes"), "requests"), 100, 1 << 20)
+    return plan.groupBy(F.col("job").cast("long").alias("job")).agg(F.count(F.lit(1)).alias("requests"), F.sum("request_bytes").alias("bytes"))
 
 
 def batch_parse_output(spark, sf_dir):
@@ -279,7 +289,7 @@ def pca_projection(spark, sf_dir):
 
 
 def umap_projection(spark, sf_dir):
-    return projection.umap_projection(vectors(spark, sf_dir).drop("label"), n_epochs=50)
+    return projection.umap_projection(vectors(spark, sf_dir).drop("label"))
 
 
 QUERIES = {

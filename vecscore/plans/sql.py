@@ -62,7 +62,7 @@ s AS (
   SELECT CAST(length(coalesce(text, '')) AS DOUBLE) / (CAST(length(coalesce(text, '')) AS DOUBLE) + 1500e0) AS score, quality AS label
   FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
 g AS (SELECT min(score) AS low, max(score) AS high FROM s),
-th AS (SELECT i, CASE WHEN i = 100 THEN high ELSE low + i * ((high - low) / 100e0) END AS threshold FROM g, (SELECT unnest(range(0, 101)) AS i)),
+th AS (SELECT i, CASE WHEN i = 1000 THEN high ELSE low + i * ((high - low) / 1000e0) END AS threshold FROM g, (SELECT unnest(range(0, 1001)) AS i)),
 k AS (
   SELECT i, threshold, count(*) FILTER (score > threshold AND label = 1) AS tp, count(*) FILTER (score > threshold AND label <> 1) AS fp, count(*) FILTER (score <= threshold AND label = 1) AS fn
   FROM th, s GROUP BY i, threshold),
@@ -75,11 +75,39 @@ p AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(embedding[1] AS DOUBLE)
 f AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) + 0.1e0 AS a, covar_samp(x, y) AS b, var_samp(y) + 0.1e0 AS d FROM p WHERE label = 0),
 area AS (SELECT id, (d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b) AS area_distance FROM p, f WHERE label <> 0)
 """
+#: Of whole vectors: the covariance as a list of rows, inverted in place by Gauss-Jordan steps, one dimension each.
+_AREA = """
+z AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+parts AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM z WHERE label = 0),
+mu AS (SELECT list(x ORDER BY k) AS mu, count(*) AS d FROM (SELECT k, avg(x) AS x FROM parts GROUP BY k)),
+cov AS (SELECT a.k AS i, b.k AS j, covar_samp(a.x, b.x) + CASE WHEN a.k = b.k THEN 0.1e0 ELSE 0 END AS c FROM parts a JOIN parts b USING (id) GROUP BY a.k, b.k),
+sigma AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+step(k, m) AS (
+  SELECT 1, m FROM sigma
+  UNION ALL
+  SELECT k + 1, [CASE WHEN i = k THEN r ELSE [CASE WHEN j = k THEN 0 ELSE m[i][j] END - m[i][k] * r[j] FOR j IN range(1, len(m) + 1)] END FOR i IN range(1, len(m) + 1)]
+  FROM (SELECT k, m, [CASE WHEN j = k THEN 1 ELSE m[k][j] END / m[k][k] FOR j IN range(1, len(m) + 1)] AS r FROM step WHERE k <= len(m))),
+inverse AS (SELECT m FROM step WHERE k = len(m) + 1),
+delta AS (SELECT id, [v[i] - mu[i] FOR i IN range(1, d + 1)] AS x FROM z, mu WHERE label <> 0),
+area AS (SELECT id, list_sum([x[i] * list_dot_product(m[i], x) FOR i IN range(1, len(m) + 1)]) AS area_distance FROM delta, inverse)
+"""
+_REQUESTS = """
+line AS (SELECT id, '{"custom_id":"cid","method":"POST","url":"/v1/embeddings","body":{"model":"model-x","input":' || CAST(to_json(text) AS VARCHAR) || '}}' AS line FROM cleaned),
+request AS (SELECT id, line, CAST(strlen(line) + 17 + 1 AS BIGINT) AS bytes FROM line)
+"""
+_PLAN = """
+ordered AS (SELECT row_number() OVER (ORDER BY id) AS i, bytes FROM request),
+walk(i, job, n, total) AS (
+  SELECT i, CAST(0 AS BIGINT), 1, CAST(bytes AS BIGINT) FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.i, CASE WHEN full_ THEN job + 1 ELSE job END, CASE WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN full_ THEN bytes ELSE total + bytes END
+  FROM (SELECT o.i, o.bytes, w.job, w.n, w.total, w.n + 1 > 100 OR w.total + o.bytes > 1048576 AS full_ FROM walk w JOIN ordered o ON o.i = w.i + 1) o)
+"""
 _SHARDS = """
-rows AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings),
+rows AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, list_sum(CAST(embedding AS DOUBLE[])) AS v FROM embeddings),
 shards AS (
-  SELECT id, 1 AS batch, round(v + 1, 6) AS v FROM rows UNION ALL SELECT id, 2, round(v + 2, 6) FROM rows WHERE label BETWEEN 1 AND 5
-  UNION ALL SELECT id, 3, round(v + 3, 6) FROM rows WHERE label = 5)
+  SELECT id, 1 AS batch, round(v + 1, 4) AS v FROM rows UNION ALL SELECT id, 2, round(v + 2, 4) FROM rows WHERE label BETWEEN 1 AND 5
+  UNION ALL SELECT id, 3, round(v + 3, 4) FROM rows WHERE label = 5)
 """
 _COMPARED = """
 e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
@@ -111,6 +139,11 @@ ORACLE_SQL = {
     "area_covariance": "WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label = 0) SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b USING (vec_id) GROUP BY a.k, b.k",
     "area_distance_2d": f"WITH {_PLANE} SELECT id, round(area_distance, 4) AS area_distance FROM area",
     "area_score": f"WITH {_PLANE} SELECT id, round(exp(-0.5 * area_distance), 4) AS relevance_score, round(area_distance, 4) AS area_distance FROM area",
+    "area_distance_full": f"WITH RECURSIVE {_AREA} SELECT id, round(area_distance, 6) AS area_distance FROM area",
+    "area_score_full": f"WITH RECURSIVE {_AREA} SELECT id, round(exp(-0.05 * area_distance), 6) AS relevance_score, round(area_distance, 6) AS area_distance FROM area",
+    "natural_join_distances_full": f"WITH RECURSIVE {_VECTORS}, {_AREA}, q AS ({_TO_REFERENCE}) SELECT id, round(distance, 6) AS distance, round(area_distance, 6) AS area_distance FROM q JOIN area USING (id)",
+    "batch_request_lines": f"WITH {clean_sql('balanced')}, {_REQUESTS} SELECT id, CAST(20 AS BIGINT) AS custom_id_chars, md5(line) AS line_md5, bytes AS request_bytes FROM request",
+    "batch_job_plan": f"WITH RECURSIVE {clean_sql('balanced')}, {_REQUESTS}, {_PLAN} SELECT job, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes FROM walk JOIN ordered USING (i) GROUP BY job",
     "changed_rows": f"WITH {clean_sql('balanced')} SELECT id, md5(text) AS text_md5 FROM cleaned WHERE lang IS DISTINCT FROM 'en'",
     "dry_run_preview": f"""WITH {clean_sql('balanced')} SELECT id, md5(title) AS title_md5, md5(abstract) AS abstract_md5, trim(t, ' ') AS cleaned_title,
       CASE WHEN abstract_kept THEN md5(trim(a, ' ')) END AS cleaned_md5, md5(text) AS text_md5, lang IS DISTINCT FROM 'en' AS would_embed FROM cleaned""",

@@ -22,10 +22,14 @@ def path_part(value: str) -> str:
 def required_text(name: str, value) -> str:
     value = "" if value is None else str(value).strip()
     if not value:
-        raise ValueError(f"`{name}` must be a non-empty character string.")
+        raise ValueError(f"{name} is empty")
     return value
 
 
+#: Ending of a whole new file that is about to take its place.
+READY = ".ready"
+
+
 class Storage:
     """Whole files and folders on a Hadoop file system."""
 
@@ -38,9 +42,16 @@ class Storage:
         return p, p.getFileSystem(self._conf)
 
     def exists(self, path: str) -> bool:
+        self._settle(path)
         p, fs = self._path(path)
         return fs.exists(p)
 
+    def _settle(self, path: str) -> None:
+        """Finish a write that stopped between its two renames: the whole new file is beside the place of the old one."""
+        (p, fs), (ready, _) = self._path(path), self._path(path + READY)
+        if not fs.exists(p) and fs.exists(ready):
+            fs.rename(ready, p)
+
     def children(self, path: str) -> list[str]:
         p, fs = self._path(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -52,13 +63,14 @@ class Storage:
     def rename(self, old: str, new: str) -> None:
         p, fs = self._path(old)
         if not fs.rename(p, self._path(new)[0]):
-            raise OSError(f"Could not rename {old} to {new}")
+            raise OSError(f"{old} couldn't be moved to {new}")
 
     def make(self, path: str) -> None:
         p, fs = self._path(path)
         fs.mkdirs(p)
 
     def read_text(self, path: str) -> str:
+        self._settle(path)
         p, fs = self._path(path)
         stream = fs.open(p)
         try:
@@ -67,7 +79,11 @@ class Storage:
             stream.close()
 
     def write_text(self, path: str, text: str, new_only: bool = False) -> bool:
-        """Write beside the target and rename, so readers never see half a file; ``new_only`` creates or returns False."""
+        """Write beside the target and rename over it, so no moment is without a whole file; ``new_only`` creates or returns False.
+
+        The new file gets its ``READY`` name when it is whole. Stores whose rename can't
+        replace at once may be without the target for a moment: a reader then takes the ready one.
+        """
         p, fs = self._path(path)
         if new_only:
             try:
@@ -84,10 +100,22 @@ class Storage:
         stream = fs.create(q, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(p, False)
-        self.rename(beside, path)
+        ready, _ = self._path(path + READY)
+        self._settle(path)
+        fs.delete(ready, False)
+        self.rename(beside, path + READY)
+        self._replace(path + READY, path)
         return True
 
+    def _replace(self, old: str, new: str) -> None:
+        """Rename over an existing file."""
+        jvm, (p, _), (q, _) = self.spark._jvm, self._path(old), self._path(new)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext
+        context.getFileContext(p.toUri(), self._conf).rename(p, q, options)
+
     def read_yaml(self, path: str):
         return yaml.safe_load(self.read_text(path))
 
@@ -104,7 +132,7 @@ class Project:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, required_text("project_dir", root).rstrip("/"), Storage(spark)
         if not self.files.exists(self.root):
-            raise ValueError(f"`project_dir` does not exist: {root}")
+            raise ValueError(f"no project_dir at {root}")
 
     def path(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
@@ -132,6 +160,12 @@ class Project:
         return base, "embeddings"
 
 
+def model_part(folder: str, name: str) -> str:
+    """The part of an output path that names the model: ``model_id=<model>``, or the folder's name if no model is known."""
+    own = folder.rstrip("/").rsplit("/", 1)[-1]
+    return own if own.startswith("model_id=") or name == "embeddings" else f"model_id={path_part(name)}"
+
+
 def read_dataset(spark: SparkSession, path: str, strict: bool = False, merge: bool = False) -> DataFrame:
     """Parquet below a path, a file or a folder; unless strict, side files are passed over."""
     reader = spark.read.option("mergeSchema", str(merge).lower())
@@ -144,7 +178,7 @@ def read_embeddings(spark: SparkSession, model_dir: str) -> DataFrame:
     """All shards of a model, with ``label`` as text and ``batch`` as a number; shards may differ in columns."""
     df = read_dataset(spark, model_dir, merge=True)
     if "label" not in df.columns:
-        raise ValueError("Embeddings dataset has no `label` partition. Re-embed with `embed_corpus(label = ...)`.")
+        raise ValueError(f"vectors below {model_dir} have no label; embed_corpus(label=...) writes one")
     df = df.withColumn("label", F.col("label").cast("string"))
     return df.withColumn("batch", F.col("batch").cast("int")) if "batch" in df.columns else df
 

@@ -41,7 +41,7 @@ def with_retry(run, retries: int = 3, sleep=time.sleep):
             return run()
         except Exception as error:
             if attempt > retries:
-                raise RuntimeError(f"Embedding request failed after retries: {error}") from error
+                raise RuntimeError(f"given up after {attempt} attempts: {error}") from error
             sleep(min(2 ** (attempt - 1), 8))
 
 

@@ -19,11 +19,18 @@ SCHEMA = "id string, title string, abstract string"
 
 
 def embed_increment(rows: DataFrame, project: Project, backend: BackendConfig, label: str, save_text: bool = True) -> int:
-    """Embed what of ``rows`` is new or changed; of rows that share an id, one is taken. Returns how many."""
+    """Embed what of ``rows`` is new or changed. Returns how many.
+
+    Of rows that share an id those of the newest file count (``_at``, if they have it); if these
+    differ still, no order tells which one holds, and the micro-batch fails as a batch run does.
+    """
     spark = rows.sparkSession
+    if "_at" in rows.columns:
+        newest = rows.groupBy(F.col("id").alias("_id")).agg(F.max("_at").alias("_newest"))
+        rows = rows.join(newest, F.col("id").eqNullSafe(F.col("_id"))).filter("_at = _newest")
     info = backend_info(backend)
     label_dir = project.label_dir(info["model_id"], label)
-    prepared = prepare_rows(rows.dropDuplicates(["id"]))
+    prepared = prepare_rows(rows.select("id", "title", "abstract").distinct())
     existing = existing_hashes(spark, project, label_dir)
     changed = prepared if existing is None else changed_rows(prepared, existing)
     n = changed.count()
@@ -42,7 +49,7 @@ def stream_embeddings(spark: SparkSession, project_dir: str, backend: BackendCon
     """Start a stream over ``<project>/<corpus>``; ``once`` works off what is there and stops."""
     project = Project(spark, project_dir)
     label = required_text("label", label or corpus_name)
-    stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(project.path(corpus_name))
+    stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(project.path(corpus_name)).select("*", F.col("_metadata.file_modification_time").alias("_at"))
     writer = stream.writeStream.foreachBatch(lambda df, _: embed_increment(df, project, backend, label) and None)
     writer = writer.option("checkpointLocation", checkpoint or project.path("_stream", corpus_name))
     return (writer.trigger(availableNow=True) if once else writer).start()
