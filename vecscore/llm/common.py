@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
-
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecscore.staging import materialise, work_dir  # noqa: F401
+
 #: The white space of the word contracts: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -35,52 +32,6 @@ def count_words(text: Column) -> Column:
     return F.size(space_words(text)).cast("long")
 
 
-_cleaned: set[str] = set()
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder, ``spark.checkpoint.dir``.
-
-    Only a session whose tasks all run in the driver's own process may name none; it gets
-    one in /tmp, where a cluster's executors would each write to a disk of their own.
-    An application's folders lie in one, which is deleted when the driver's Python ends.
-    """
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
-        shared = "/tmp/checkpoints"
-    root = os.path.join(shared, f"vecscore-{app}")
-    if root not in _cleaned:
-        _cleaned.add(root)
-        atexit.register(_delete, spark, root)
-    return os.path.join(root, uuid.uuid4().hex)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except (Py4JError, OSError):  # the JVM is gone by then
-        pass
-
-
-def materialise(df: DataFrame, name: str = "table", partitions_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors, and gives the planner the
-    true size of the table, so that it can choose a broadcast only where it fits.
-    """
-    spark = df.sparkSession
-    path = os.path.join(work_dir(spark), name)
-    writer = df.write.mode("errorifexists")
-    if partitions_by:
-        writer = writer.partitionBy(*partitions_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing reads any more."""
     spark = df.sparkSession
