@@ -226,7 +226,8 @@ def _apart(bad, all_, n1, n0):
 
 def token_counts(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TokenCounts | None:
     """Counts of the tokens that may tell; None without training rows of both kinds in the training part of every fold."""
-    sums = known.groupBy("fold").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).collect()  # a row per fold
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id")).join(F.broadcast(known), "doc_id")  # labels without a document don't count
+    sums = rows.groupBy("fold").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).collect()  # a row per fold
     n_bad, n_all = np.zeros(FOLDS), np.zeros(FOLDS)
     for r in sums:
         n_bad[r["fold"]], n_all[r["fold"]] = r["bad"], r["all"]
