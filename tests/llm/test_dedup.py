@@ -184,6 +184,30 @@ def test_fingerprints_of_odd_tables(spark, odd, none):
     assert digest.document_fingerprints(one).first()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_repeated_and_null_ids_are_cut_into_ranges(spark):
+    docs = [(None, f"null {k}") for k in range(40)] + [(7, f"seven {k}") for k in range(40)] + [(7, "seven 3")] * 3 + [(9, "last")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    marked = digest._marked(df, "doc_id", "text")
+    cuts = digest._ranges(marked, 5)
+    assert len({c for c in cuts if c[0] == 7}) >= 4 and len({c for c in cuts if c[0] < 0}) >= 4
+    order = sorted(docs, key=lambda d: (-1 if d[0] is None else d[0], digest.xxhash.xxh64_intdigest(d[1].encode()) >> 1))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), digest.digest(digest.canonical(t))))
+    for target in (5, 100):
+        assert sorted((tuple(r)[:4] for r in digest.document_fingerprints(df, target).collect()), key=str) == sorted(want, key=str)
+
+
+def test_edited_texts_of_a_mixed_bucket(spark):
+    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sha string, edited_sha string, zip binary"
+    rows_ = spark.createDataFrame([(1, 1, "", "f", "g", 0.0, 0.0, "a" * 64, "c" * 64, b"a"), (2, 1, "", "f", "f", 0.0, 0.0, "b" * 64, "a" * 64, b"b"), (3, 1, "", "g", "h", 0.0, 0.0, None, "d" * 64, None)], columns)
+    groups = digest.byte_groups(rows_.filter("zip IS NOT NULL").select("doc_id", "fingerprint", F.col("zip").alias("canon"), "sha"))
+    got = {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"]) for r in digest._named(rows_, groups).collect()}
+    assert got == {1: ("f-" + "a" * 32, "g"), 2: ("f-" + "b" * 32, "f-" + "a" * 32), 3: ("g", "h")}  # 2's edited text is 1's text
+
+
 def test_unequal_bytes_in_one_bucket(spark):
     rows_ = spark.createDataFrame([(1, "f", b"a"), (2, "f", b"b"), (3, "f", b"a"), (4, "g", b"c")], "doc_id long, fingerprint string, canon binary")
     got = {(r["fingerprint"], r["class_id"]): (r["copies"], r["suffix"] is not None) for r in digest.byte_groups(rows_).collect()}

@@ -5,16 +5,25 @@ trimmed. The fingerprint is the 128-bit xxh3 hash of its UTF-8 bytes. Documents
 one fingerprint make a bucket; in buckets of several documents the canonical bytes
 are compared, by grouping on the fingerprint and the bytes themselves, which
 combines copies on the map side. A bucket that holds different texts gives its
-documents longer fingerprints, with the SHA-256 of the bytes.
-
-Defined results: a null text is empty; empty texts share one fingerprint; repeated
-rows get equal results; a null doc_id counts as smaller than any other.
+documents, and edited texts with such a fingerprint, longer ones, with the SHA-256 of the
+bytes.
+
+The next document is the next by (doc_id, hash of the text). Rows are dealt into ranges of
+that pair, so neither an id that repeats nor a null id is one range; a range is
+sorted, which may spill, and streamed.
+
+Defined results: a null text is empty; empty texts share one fingerprint; rows alike in
+doc_id and text get equal fingerprints and stand next to each other; a null doc_id counts as
+smaller than any other; rows of one doc_id are in order of their texts' hashes; very
+long texts are read whole; the only document is its own next one; an empty table gives an
+empty table; other columns are not read, so no name clashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 import xxhash
@@ -46,65 +55,72 @@ def text_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string" + ", canon binary" * with_bytes)
 
 
-def _ranges(ids: DataFrame, target_rows: int) -> list[int]:
-    """Lower bounds that cut the ids into ranges of about ``target_rows`` rows; they only set how even the ranges are."""
-    n = ids.count()
-    ranges = min(8192, max(1, -(-n // target_rows)))  # more rows than that make wider ranges, which are streamed
+_LOW = -1 << 63  # stands for a null doc_id in comparisons
+
+
+def _key(id_: int | None, h: int) -> tuple[int, int]:
+    return (_LOW if id_ is None else id_, h)
+
+
+def _ranges(marked: DataFrame, target_rows: int, most: int = 65_536) -> list[tuple[int, int]]:
+    """Lower bounds that cut the rows into ranges of about ``target_rows``; they only set how even the ranges are.
+
+    The sample that they are read from has about 40 rows for each range.
+    """
+    n = marked.count()
+    ranges = min(most, max(1, -(-n // target_rows)))  # more rows than that make wider ranges, which are streamed
     if ranges == 1:
         return []
-    return sorted({int(c) for c in ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)})
+    share = int(min(1.0, 40 * ranges / n) * (1 << 30))
+    some = sorted(_key(*r) for r in marked.filter(F.pmod(F.xxhash64("doc_id", "h", F.lit(7)), F.lit(1 << 30)) < share).select("doc_id", "h").collect())
+    return sorted({some[k * len(some) // ranges] for k in range(1, ranges)}) if some else []
+
+
+def _with_range(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` (doc_id, h, shared) with ``range``: how many of the cuts the row reaches."""
 
+    def run(batches):
+        for batch in batches:
+            found = [bisect_right(cuts, _key(i, h)) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["doc_id", "h", "shared", "range"])
 
-def _range_of(cuts: list[int]):
-    """Column: how many of the cuts doc_id reaches; in two steps, so that a row isn't compared with every cut."""
-    step = 32
-    coarse = F.array(*[F.lit(c) for c in cuts[::step]]).cast("array<bigint>")
-    blocks = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]).cast("array<bigint>") for i in range(0, len(cuts), step)])
-    k = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))) - 1
-    fine = k * step + F.size(F.filter(F.get(blocks, k), lambda c: c <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull() | (k < 0), 0).otherwise(fine).cast("int") if cuts else F.lit(0)
+    return rows.select("doc_id", "h", "shared").mapInArrow(run, "doc_id long, h long, shared boolean, range int")
 
 
-def _zipped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, h, zip``: texts packed for the shuffle, and a hash that orders rows of one id."""
+def _zipped(docs: DataFrame, cuts: list[tuple[int, int]], firsts: list[tuple[int, int | None, int]], doc_id: str, text: str) -> DataFrame:
+    """``range, kind, doc_id, h, zip``: texts packed for the shuffle. A range's first row is also the tail (kind 2) of the range before it."""
+    before = {(r, i, h): firsts[k - 1][0] for k, (r, i, h) in enumerate(firsts)}  # the first range is the last one's next
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            raw = [t.as_py() or b"" for t in batch.column(1)]
-            h = [xxhash.xxh64_intdigest(x) >> 1 for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array([squeeze(x) for x in raw], pa.binary())], names=["doc_id", "h", "zip"])
+            for at in range(0, batch.num_rows, 512):
+                part, out = batch.slice(at, 512), []
+                for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    raw = t.as_py() or b""
+                    h = xxhash.xxh64_intdigest(raw) >> 1
+                    r, packed = bisect_right(cuts, _key(i, h)), squeeze(raw)
+                    out.append((r, 1, i, h, packed))
+                    if (r, i, h) in before:
+                        out.append((before[(r, i, h)], 2, i, h, packed))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, h long, zip binary")
+    schema = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("zip", pa.binary())])
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "range int, kind int, doc_id long, h long, zip binary")
 
 
-def _dealt(docs: DataFrame, marked: DataFrame, cuts: list[int], doc_id: str, text: str) -> DataFrame:
-    """Rows in ranges of doc_id, each range in order and followed by the first row of the next one.
+def _dealt(docs: DataFrame, flagged: DataFrame, cuts: list[tuple[int, int]], doc_id: str, text: str) -> DataFrame:
+    """Rows in ranges, each range in order and followed by the first row of the next one.
 
-    ``range, tail, doc_id, h, shared, zip``; tail marks the next range's row, shared
-    is whether the row's fingerprint comes up again.
+    ``range, kind, doc_id, h, zip``; kind 0 says that the fingerprint of the row after it comes
+    up again, kind 2 marks the next range's row. Of rows alike in doc_id and text the range's
+    first ones all are the tail of the range before, which takes one of them.
     """
-    rows = marked.withColumn("range", _range_of(cuts))
+    rows = _with_range(flagged, cuts)
     firsts = sorted((r["range"], r["f"]["doc_id"], r["f"]["h"]) for r in rows.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect())  # a row per range
-    zipped = _zipped(docs, doc_id, text).withColumn("range", _range_of(cuts))
-    if not firsts:
-        return zipped.select("range", F.lit(0).alias("kind"), "doc_id", "h", "zip")
-    given = [F.struct(F.lit(r).alias("range"), F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h"), F.lit(firsts[k - 1][0]).alias("before")) for k, (r, i, h) in enumerate(firsts)]
-    # first rows by their range; the range's entry says whose tail its first row is
-    own = F.get(F.filter(F.array(*given), lambda x: x["range"] == F.col("range")), F.lit(0)) if len(firsts) <= 64 else F.get(F.array(*[g for g in _by_range(given, firsts)]), F.col("range"))
-    zipped = zipped.withColumn("own", own)
-    is_first = F.col("own.i").eqNullSafe(F.col("doc_id")) & (F.col("own.h") == F.col("h"))
-    here = F.struct(F.col("range").alias("range"), F.lit(1).alias("kind"))
-    places = F.when(is_first, F.array(here, F.struct(F.col("own.before").alias("range"), F.lit(2).alias("kind")))).otherwise(F.array(here))
-    dealt = zipped.select("doc_id", "h", "zip", F.explode(places).alias("p")).select("p.range", "p.kind", "doc_id", "h", "zip")
     flags = rows.filter("shared").select("range", F.lit(0).alias("kind"), "doc_id", "h", F.lit(None).cast("binary").alias("zip"))
-    return dealt.unionByName(flags).repartitionById(max(r for r, *_ in firsts) + 1, F.col("range")).sortWithinPartitions("range", F.expr("kind = 2"), F.col("doc_id").asc_nulls_first(), "h", "kind")
-
-
-def _by_range(given: list, firsts: list[tuple]) -> list:
-    """The structs at the places of their ranges, so that a range finds its own without a search."""
-    at = {r: g for g, (r, *_) in zip(given, firsts, strict=True)}
-    return [at.get(r, given[0]) for r in range(max(at) + 1)]
+    dealt = _zipped(docs, cuts, firsts, doc_id, text).unionByName(flags)
+    return dealt.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", F.expr("kind = 2"), F.col("doc_id").asc_nulls_first(), "h", "kind")
 
 
 def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,8 +135,8 @@ def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str
     marked = materialise(_marked(docs, doc_id, text), "fingerprints")
     again = materialise(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "again")
     flagged = materialise(marked.join(again.withColumn("shared", F.lit(True)), "fingerprint", "left").select("doc_id", "h", F.coalesce("shared", F.lit(False)).alias("shared")), "flags")
-    cuts = _ranges(marked.select("doc_id"), target_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("zip", pa.binary())])
+    cuts = _ranges(marked, target_rows)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("sha", pa.string()), ("edited_sha", pa.string()), ("zip", pa.binary())])
 
     def run(batches):
         packer, opener = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
@@ -138,20 +154,26 @@ def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str
                     half = len(old) // 2
                     edited = old[: len(old) - half] + value[:half]
                     edited_canon = canonical(edited)
-                    out.append((was, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(old_canon), digest(edited_canon), float(old_canon == edited_canon), float(old_canon == canon), packer(old_canon) if asked else None))
+                    out.append((was, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(old_canon), digest(edited_canon), float(old_canon == edited_canon), float(old_canon == canon), hashlib.sha256(old_canon).hexdigest() if asked else None, hashlib.sha256(edited_canon).hexdigest(), packer(old_canon) if asked else None))
                 asked = (id_, h) == flag
                 held = None if kind == 2 else (range_, id_, value, canon, asked)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    rows = _dealt(docs, flagged, cuts, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, zip binary")
+    rows = _dealt(docs, flagged, cuts, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sha string, edited_sha string, zip binary")
     rows = materialise(rows, "rows")
-    groups = byte_groups(rows.filter("zip IS NOT NULL").select("doc_id", "fingerprint", F.col("zip").alias("canon")))
-    # a bucket of different texts: practically never; its rows are told apart by their bytes
+    groups = byte_groups(rows.filter("zip IS NOT NULL").select("doc_id", "fingerprint", F.col("zip").alias("canon"), "sha"))
+    return _named(rows, groups)
+
+
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The result's columns. Where a bucket has different texts, which is practically never, the bytes' digest tells them and edited texts of that fingerprint apart."""
+    out = rows.drop("zip").join(groups, ["fingerprint", "sha"], "left")
+    mixed = groups.filter("suffix IS NOT NULL").select(F.col("fingerprint").alias("edited_fingerprint"), F.lit(True).alias("edited_mixed")).distinct()
+    out = out.join(mixed, "edited_fingerprint", "left")
     named = F.when(F.col("suffix").isNull(), F.col("fingerprint")).otherwise(F.concat("fingerprint", F.lit("-"), "suffix"))
-    rows = rows.withColumn("sha", F.when(F.col("zip").isNotNull(), F.sha2("zip", 256)))
-    out = rows.join(groups, ["fingerprint", "sha"], "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", named.alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    edited = F.when(F.col("edited_mixed"), F.concat("edited_fingerprint", F.lit("-"), F.substring("edited_sha", 1, 32))).otherwise(F.col("edited_fingerprint"))
+    return out.select("doc_id", "n_chars", "edited_sha256", named.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -168,14 +190,15 @@ def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def byte_groups(rows: DataFrame) -> DataFrame:
-    """``fingerprint, sha, class_id, copies, suffix`` of each text in ``rows`` (doc_id, fingerprint, canon).
+    """``fingerprint, sha, class_id, copies, suffix`` of each text in ``rows`` (doc_id, fingerprint, canon, and ``sha`` if canon is packed).
 
     Rows are grouped by the fingerprint and the bytes themselves, so unequal bytes
     never meet; copies are combined before they are shuffled. suffix is set where
     one fingerprint stands for different bytes.
     """
-    groups = rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    groups = materialise(groups.select("fingerprint", F.sha2("canon", 256).alias("sha"), "class_id", "copies"), "groups")
+    rows = rows if "sha" in rows.columns else rows.withColumn("sha", F.sha2("canon", 256))
+    groups = rows.groupBy("fingerprint", "canon", "sha").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    groups = materialise(groups.select("fingerprint", "sha", "class_id", "copies"), "groups")
     mixed = groups.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint", F.lit(True).alias("mixed"))
     return groups.join(mixed, "fingerprint", "left").select("fingerprint", "sha", "class_id", "copies", F.when(F.col("mixed"), F.substring("sha", 1, 32)).alias("suffix"))
 
