@@ -15,8 +15,11 @@ takes the one whose words come nearest to what was due. The random moves follow
 reruns agree.
 
 Defined results: a null text has size 0; sources without words have target 0 and
-nothing is taken; a null source is a source, ordered last; rows alike in doc_id and
-text are separate rows whose order can't show; other columns are kept.
+nothing is taken; a null source is a source, ordered last; a null doc_id is an id; rows alike in
+doc_id and text are separate rows whose order can't show; of landings that come equally near,
+that with the document count nearest, then the first, is taken; very long texts count
+whole; an empty table gives an empty table; other columns, whatever their names, are kept by
+:func:`repeated` and not read by :func:`mix`. What is sorted in one task is a row per source.
 """
 
 from __future__ import annotations

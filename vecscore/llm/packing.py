@@ -15,7 +15,10 @@ from counts per (bucket, length), summed over buckets, so no length is ever
 gathered in one task.
 
 Defined results: null and empty texts are their end id alone; repeated rows are
-packed one by one; sequence ids are distinct numbers without further meaning.
+packed one by one, and :func:`numbered_copies` tells their pieces apart; pieces of equal
+length are dealt out by (doc_id, piece, checksum); a null doc_id is an id; very long texts are
+encoded whole and cut; sequence ids are distinct numbers without further meaning; an empty
+table gives an empty table; other columns of ``docs`` are not read, so no name clashes.
 """
 
 from __future__ import annotations
@@ -289,6 +292,15 @@ def pack(cut: DataFrame, capacity: int = 2048, classes: int = 128, parts: int =
     return ranked.select(*names, "_rank").mapInArrow(run, StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
+def numbered_copies(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``copy``: 0, 1, ... among like pieces of rows that repeat a doc_id and text.
+
+    Each number has every piece of the document once, so one copy can be read back by (doc_id, copy).
+    """
+    like = Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy("sequence_id", "offset")
+    return packed.withColumn("copy", F.row_number().over(like) - 1)
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenize, cut and pack; tokens are counted once, from a written table."""
     cut = materialise(pieces(docs, vocabulary, ranks, capacity, end_id, keep_ids, doc_id, text), "pieces")

@@ -12,8 +12,11 @@ A host rule is ``**.host`` before the host mark, so it fits the host itself and
 subdomains. Of the rules of the given list that match, the longest (host and path)
 wins; a URL that none fits is judged by the pattern rules, the method's own.
 
-Defined results: a null URL or one without ``://`` has an empty host and path, fits
-no rule and is blocked; equal URLs get equal results; other columns are kept.
+Defined results: a null or empty URL or one without ``://`` has an empty host and path, fits
+no rule and is blocked; equal URLs get equal results, repeated rows one each; of rules of
+equal length that fit, the first by their text wins; URLs of any length are stepped through
+whole, byte by byte, beside the others of their batch; an empty table gives an empty table;
+the result has its own columns alone, and others of ``pages`` are not read, so no name clashes.
 """
 
 from __future__ import annotations
