@@ -111,6 +111,8 @@ def test_urls_against_plain_rules(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
         assert r["verdict"] == (max(fits)[2] if fits else "block" if not host or "login" in path or path.endswith(".exe") else "allow")
     assert urls.url_filter(df.limit(0)).count() == 0
+    long_ = spark.createDataFrame([(1, "http://a.fr/" + "x" * 200_000 + "/login"), (2, "http://" + "y" * 100_000 + ".org/es/"), (3, None)], "page_id long, url string")
+    assert [(r["rule"], r["verdict"]) for r in urls.url_filter(long_).orderBy("page_id").collect()] == [(None, "block"), ("org/es/", "block"), (None, "block")]
 
 
 def brute_best(s):

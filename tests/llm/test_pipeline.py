@@ -62,6 +62,10 @@ def test_stages(spark, folder):
         ids = np.array([*slow.encode(r[1], add_special_tokens=False).ids, 0], "<u4")
         cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)] if len(ids) > 2048 else [0, len(ids)]
         want.update((r[0], a, b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(cuts, cuts[1:], strict=False))
+    copies = Counter((r[0], r[1], r[7]) for r in out["best_fit_packing"])
+    assert max(copies.values()) == 1 and any(c == 1 for *_, c in copies)  # (doc_id, piece, copy) tells every piece
+    for i, times in after.items():
+        assert {c for j, _, c in copies if j == i} == set(range(times))
     got, seqs = Counter((r[0], r[2], r[3], r[4]) for r in out["best_fit_packing"]), defaultdict(list)
     assert got == want
     for r in out["best_fit_packing"]:
