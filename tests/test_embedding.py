@@ -2,6 +2,7 @@
 
 import json
 import threading
+import xml.etree.ElementTree
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
 
@@ -202,6 +203,31 @@ def test_demo_runs_end_to_end(spark, tmp_path):
     with pytest.raises(ValueError, match="overwrite"):
         api.run_demo(spark, str(tmp_path / "d"), rows, rows, LOCAL)
     assert api.backend_read(spark, out["backend"]) == LOCAL
+    assert read_dataset(spark, out["area_scores"]).count() == 8
+
+
+def test_demo_of_its_own_tables(spark, tmp_path):
+    """The script and the notebook hold the same steps; the notebook's cells run."""
+    out = api.run_demo(spark, str(tmp_path / "d"), backend=LOCAL)
+    compile(Path(out["script"]).read_text(), "demo", "exec")
+    cells = [c for c in json.loads(Path(out["notebook"]).read_text())["cells"] if c["cell_type"] == "code"]
+    names = {}
+    for c in cells:
+        exec("".join(c["source"]), names)  # noqa: S102
+    picture = Path(tmp_path, "d", "pca.svg").read_text()
+    root = xml.etree.ElementTree.fromstring(picture)
+    titles = [x.text for x in root.iter("{http://www.w3.org/2000/svg}title")]
+    assert len(titles) == 60 + 8 and any(t.startswith("reference:") for t in titles)
+
+
+def test_pictures_of_many_groups_and_none():
+    from vecscore.functions import svg
+
+    points = [(f"p<{k}", k % 7, k // 7, f"g&{k % 5}") for k in range(60)]
+    for n, panels in ((0, 1), (1, 1), (60, 5)):
+        root = xml.etree.ElementTree.fromstring(svg.scatter(points[:n], ("U1", "U2"), 'a "title"'))
+        assert len(root.findall(".//{http://www.w3.org/2000/svg}rect[@class='frame']")) == panels
+        assert len(root.findall(".//{http://www.w3.org/2000/svg}circle[@class='dot']")) == n * panels
 
 
 class Service(BaseHTTPRequestHandler):

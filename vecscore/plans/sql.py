@@ -138,10 +138,9 @@ ORACLE_SQL = {
     "area_mean": "SELECT CAST(k AS BIGINT) AS dim, round(avg(x), 6) AS mu FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label = 0) GROUP BY k",
     "area_covariance": "WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label = 0) SELECT CAST(a.k AS BIGINT) AS i, CAST(b.k AS BIGINT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM x a JOIN x b USING (vec_id) GROUP BY a.k, b.k",
     "area_distance_2d": f"WITH {_PLANE} SELECT id, round(area_distance, 4) AS area_distance FROM area",
-    "area_score": f"WITH {_PLANE} SELECT id, round(exp(-0.5 * area_distance), 4) AS relevance_score, round(area_distance, 4) AS area_distance FROM area",
     "area_distance_full": f"WITH RECURSIVE {_AREA} SELECT id, round(area_distance, 6) AS area_distance FROM area",
-    "area_score_full": f"WITH RECURSIVE {_AREA} SELECT id, round(exp(-0.05 * area_distance), 6) AS relevance_score, round(area_distance, 6) AS area_distance FROM area",
-    "natural_join_distances_full": f"WITH RECURSIVE {_VECTORS}, {_AREA}, q AS ({_TO_REFERENCE}) SELECT id, round(distance, 6) AS distance, round(area_distance, 6) AS area_distance FROM q JOIN area USING (id)",
+    "area_score": f"WITH RECURSIVE {_AREA} SELECT id, round(exp(-0.05 * area_distance), 6) AS relevance_score, round(area_distance, 6) AS area_distance FROM area",
+    "natural_join_distances": f"WITH RECURSIVE {_VECTORS}, {_AREA}, q AS ({_TO_REFERENCE}) SELECT id, round(distance, 6) AS distance, round(area_distance, 6) AS area_distance FROM q JOIN area USING (id)",
     "batch_request_lines": f"WITH {clean_sql('balanced')}, {_REQUESTS} SELECT id, CAST(20 AS BIGINT) AS custom_id_chars, md5(line) AS line_md5, bytes AS request_bytes FROM request",
     "batch_job_plan": f"WITH RECURSIVE {clean_sql('balanced')}, {_REQUESTS}, {_PLAN} SELECT job, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes FROM walk JOIN ordered USING (i) GROUP BY job",
     "changed_rows": f"WITH {clean_sql('balanced')} SELECT id, md5(text) AS text_md5 FROM cleaned WHERE lang IS DISTINCT FROM 'en'",
@@ -150,7 +149,6 @@ ORACLE_SQL = {
     "keep_newest": f"WITH {_SHARDS} SELECT id, max(batch) AS batch, arg_max(v, batch) AS v FROM shards GROUP BY id",
     "superseded_rows": f"WITH {_SHARDS} SELECT s.* FROM shards s JOIN (SELECT id, max(batch) AS newest FROM shards GROUP BY id) USING (id) WHERE batch < newest",
     "duplicate_ids": "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
-    "natural_join_distances": f"WITH {_VECTORS}, {_PLANE}, q AS ({_TO_REFERENCE}) SELECT id, round(distance, 6) AS distance, round(area_distance, 4) AS area_distance FROM q JOIN area USING (id)",
     "compare_embeddings": f"WITH {_COMPARED} SELECT id, round(cosine_similarity, 6) AS cosine_similarity, round(max_abs_diff, 6) AS max_abs_diff FROM q",
     "compare_summary": f"WITH {_COMPARED} SELECT count(*) AS matched_ids, round(avg(cosine_similarity), 6) AS mean_cosine_similarity, round(min(cosine_similarity), 6) AS min_cosine_similarity, round(max(max_abs_diff), 6) AS max_abs_diff FROM q",
     "similarity_neighbours": "WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT id, round(list_cosine_similarity(v, list_reverse(v)), 6) AS similarity FROM e",
