@@ -2,13 +2,14 @@
 
 import hashlib
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows
-from vecscore.llm import digest, lines, simhash
+from vecscore.llm import digest, graph, lines, simhash
 from vecscore.llm.graph import components
 
 
@@ -19,6 +20,33 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == want
 
 
+def hot_conf(spark):
+    """Settings with which no table is broadcast and a partition of a few dozen kB counts as skewed."""
+    return {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+
+
+@contextmanager
+def settings(spark, conf):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hub_of_the_graph_is_split(spark):
+    with settings(spark, hot_conf(spark)):
+        edges = spark.range(30_000).selectExpr("id % 7919 * 1000003 AS u", "IF(id < 20000, -5, id * 31) AS v")
+        both = lines.materialise(edges.unionByName(edges.selectExpr("v AS u", "u AS v")).repartition(16), "both")
+        least = lines.materialise(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = graph._with_least(both, least)
+        assert len(joined.collect()) == 60_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_components(docs, words=4, bits=4):
     fp = [simhash.fingerprint(None if t is None else t.encode(), words) for _, t in docs]
     v = np.array(fp, dtype=np.uint64)
@@ -127,11 +155,7 @@ def test_hot_lines_and_keys_are_split(spark):
     """With no table broadcast, the joins on the line that thousands share a deletion with are dealt out again at run time."""
     docs = [(k, f"page {k} of the annual report on the state of the woods") for k in range(20_000)]
     docs += [(100_000 + k, " ".join(f"own{k}w{j}" for j in range(9))) for k in range(2_000)]
-    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
+    with settings(spark, hot_conf(spark)):
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(64)
         classes = lines.materialise(lines.line_classes(df), "classes")
         rows = lines._variant_rows(lines._texts_of(lines.open_lines(classes, 5), df, "doc_id", "text"))
@@ -142,9 +166,6 @@ def test_hot_lines_and_keys_are_split(spark):
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
         got = lines.dedup_lines(df)
         assert got.filter("n_removed = 0").count() == 1 + 2_000
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_line_dedup_keeps_columns(spark, odd, none):

@@ -132,3 +132,11 @@ def test_scores_are_those_of_plain_python(spark):
         wrong += got[i]["score"] < low - 1e-9
     assert wrong <= len(docs) // 100
     assert set(models[None][0]) >= set(BAD)
+
+
+def test_the_sample_is_bounded(spark):
+    """Whatever the number of labels: what is broadcast has no more rows than the bound, the same on every run."""
+    marks = spark.range(5000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    some = {r["doc_id"] for r in toxicity.known_labels(marks, bound=300).collect()}
+    assert len(some) == 300 and some == {r["doc_id"] for r in toxicity.known_labels(marks.repartition(7), bound=300).collect()}
+    assert not {r["doc_id"] for r in marks.filter(toxicity.held_out(F.col("doc_id"))).collect()} & some
