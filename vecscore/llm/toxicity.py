@@ -121,38 +121,52 @@ class WordCache(dict):
         return found
 
 
-def word_scores(model: ToxicModel) -> WordCache:
-    """The score of a word: the largest of its own weight and those of its beginnings."""
-    get, other = model.weights.get, model.other
-
-    def find(word: bytes) -> float:
-        known = [x for x in map(get, begun(word)) if x is not None]
-        return max(known, default=other)
-
-    return WordCache(find)
+class WordScores:
+    """Scores of words by several models at once. Words of like scores are one kind: kind 0 has no token in any model."""
+
+    def __init__(self, models: list[ToxicModel]):
+        self.models = models
+        self.kinds = {tuple(m.other for m in models): 0}
+        self.table = np.array([[m.other] for m in models])
+        self.tokens = set().union(*(m.weights for m in models))
+        self.kind_of = WordCache(self._find)
+
+    def _find(self, word: bytes) -> int:
+        """A word's score is the largest of its own weight and those of its beginnings."""
+        own = [t for t in begun(word) if t in self.tokens]
+        if not own:
+            return 0
+        scores = tuple(max((m.weights[t] for t in own if t in m.weights), default=m.other) for m in self.models)
+        if scores not in self.kinds:
+            self.kinds[scores] = len(self.kinds)
+            self.table = np.concatenate([self.table, np.array(scores)[:, None]], axis=1)
+        return self.kinds[scores]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The words' kinds; ``table[k]`` of them are their scores by the model k."""
+        return np.fromiter(map(self.kind_of.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def passages(model: ToxicModel, words: list[bytes], known: WordCache) -> list[tuple[int, int, float]]:
+def _beyond_chance(model: ToxicModel, scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """Maximal segments with their log-likelihoods beyond chance."""
+    chance = math.log(model.k * len(scores))
+    return [(a, b, model.lam * s - chance) for a, b, s in maximal_segments(scores)]
+
+
+def passages(model: ToxicModel, scores: np.ndarray) -> list[tuple[int, int, float]]:
     """Significant segments: (first word, end, log-likelihood beyond chance)."""
-    if not words:
-        return []
-    scores = np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
-    chance = math.log(model.k * len(words))
-    found = ((a, b, model.lam * s - chance) for a, b, s in maximal_segments(scores))
-    return [(a, b, x) for a, b, x in found if x >= -math.log(model.expect)]
+    return [x for x in _beyond_chance(model, scores) if x[2] >= -math.log(model.expect)] if len(scores) else []
 
 
-def evidence(model: ToxicModel, words: list[bytes], known: WordCache) -> tuple[float, int]:
+def evidence(model: ToxicModel, scores: np.ndarray) -> tuple[float, int]:
     """Sum over significant segments, or the best one's if none is; and how many are significant."""
-    if not words:
+    if not len(scores):
         return model.low, 0
-    scores = np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
-    chance = math.log(model.k * len(words))
-    own = [model.lam * s - chance for *_, s in maximal_segments(scores)]
+    own = [x for *_, x in _beyond_chance(model, scores)]
     strong = [x for x in own if x >= -math.log(model.expect)]
     return (sum(strong) if strong else max(own, default=model.low)), len(strong)
 
@@ -279,13 +293,14 @@ def documents_with(docs: DataFrame, tokens: list[str], text: str = "text") -> Da
     def run(batches):
         place = {w: k for k, w in enumerate(tokens)}
         known = WordCache(lambda word: tuple(place[t] for t in begun(word) if t in place))
-        seen = np.zeros(len(tokens), dtype=np.int64)
+        seen, met = np.zeros(len(tokens), dtype=np.int64), []
         for batch in batches:
             for t in batch.column(0):
-                held = set()
-                for word in set(words_of(t.as_py())):
-                    held.update(known[word])
-                seen[list(held)] += 1
+                met.extend(set().union(*map(known.__getitem__, set(words_of(t.as_py())))))
+                if len(met) > 1_000_000:
+                    seen += np.bincount(met, minlength=len(tokens))
+                    met = []
+        seen += np.bincount(np.array(met, dtype=np.int64), minlength=len(tokens))
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([tokens[k] for k in some], pa.string()), pa.array(seen[some])], names=["w", "seen"])
 
@@ -297,14 +312,13 @@ def score_rows(docs: DataFrame, model: ToxicModel, fold_models: list[ToxicModel]
     """``doc_id, evidence, n_passages, apart``: apart is the evidence by the model without the row's ``fold``, null for rows without one."""
 
     def run(batches):
-        known = word_scores(model)
-        others = [(m, word_scores(m)) for m in fold_models or ()]
+        known = WordScores([model, *(fold_models or ())])
         for batch in batches:
             found, apart = [], []
             for t, fold in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = words_of(t.as_py())
-                found.append(evidence(model, words, known))
-                apart.append(float(evidence(others[fold][0], words, others[fold][1])[0]) if fold is not None and others else None)
+                kinds = known.of(words_of(t.as_py()))
+                found.append(evidence(model, known.table[0][kinds]))
+                apart.append(None if fold is None else float(evidence(fold_models[fold], known.table[fold + 1][kinds])[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(x) for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64()), pa.array(apart, pa.float64())], names=["doc_id", "evidence", "n_passages", "apart"])
 
     fold = F.col("fold") if fold_models else F.lit(None).cast("int")
@@ -315,12 +329,13 @@ def toxic_passages(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", t
     """``doc_id, first_word, end_word, excess, words``: every significant passage of every text."""
 
     def run(batches):
-        known = word_scores(model)
+        known = WordScores([model])
         for batch in batches:
             rows = []
             for id_, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(t.as_py())
-                rows += [(id_, a, b, x, b" ".join(words[a:b]).decode("utf-8", "replace")) for a, b, x in passages(model, words, known)]
+                kinds = known.of(words)  # may add to the table
+                rows += [(id_, a, b, x, b" ".join(words[a:b]).decode("utf-8", "replace")) for a, b, x in passages(model, known.table[0][kinds])]
             names = ["doc_id", "first_word", "end_word", "excess", "words"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
             if rows:
@@ -339,13 +354,13 @@ def fit_chance(train: DataFrame, model: ToxicModel, fold_models: list[ToxicModel
         m.k = 1.0  # evidence is then lambda S - ln n, or sums of such; its Gumbel location gives ln K
 
     def run(batches):
-        caches = [word_scores(m) for m in models]
+        known = WordScores(models)
         total, n = np.zeros(len(models)), np.zeros(len(models))
         for batch in batches:
             for t, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = words_of(t.as_py())
+                kinds = known.of(words_of(t.as_py()))
                 for k in (0, fold + 1):
-                    x, passages_ = evidence(models[k], words, caches[k])
+                    x, passages_ = evidence(models[k], known.table[k][kinds])
                     if passages_ <= 1 and x > models[k].low:
                         total[k] += math.exp(-x)
                         n[k] += 1
