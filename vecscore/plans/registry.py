@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from vecscore.demo import documents_as_corpus
 from vecscore.functions.text import strip_tags
-from vecscore.functions.vectors import similarity_cosine
+from vecscore.functions.vectors import all_finite, norm, similarity_cosine
 from vecscore.operators import area, batchjobs, calibrate, cleaning, compare, cosine, embed, projection, relational
 from vecscore.plans.sql import ORACLE_SQL  # noqa: F401
 from vecscore.sources.providers import backend_config, embed_frame
-from vecscore.staging import materialise
+from vecscore.staging import materialise, work_dir
 
 REGULARIZATION = 0.1  # of the areas: with 1e-6 nearly all scores of these vectors are 0
 
@@ -256,6 +256,40 @@ def batch_parse_output(spark, sf_dir):
     return batchjobs.parse_output(spark, lines).select("custom_id", F.size("embedding").cast("long").alias("dim"), F.round(F.col("embedding")[0], 6).alias("v1"))
 
 
+def batch_collected_rows(spark, sf_dir):
+    """Results of a job with what its manifest says of them."""
+    body = F.struct(F.struct(F.array(F.struct("embedding")).alias("data")).alias("body"))
+    rows = vectors(spark, sf_dir)
+    lines = rows.select(F.to_json(F.struct(F.concat(F.lit("cid_"), "id").alias("custom_id"), body.alias("response"))).alias("value"))
+    manifest = rows.select(F.concat(F.lit("cid_"), "id").alias("custom_id"), "id", F.concat(F.lit("hash of "), "id").alias("text_hash"), F.col("label").alias("part"))
+    found = batchjobs.join_manifest(batchjobs.parse_output(spark, lines), manifest, "openai", "model-x")
+    return found.select("id", "text_hash", "provider", "model_id", "part", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+def queued_requests(spark, sf_dir):
+    """What a submission sends while a job with the English rows runs and one with the French rows has failed: all but the former."""
+    lines = materialise(batchjobs.request_lines(_prepared(spark, sf_dir), "model-x").select("id", "custom_id", "request_bytes"), "requests")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
+    jobs = []
+    for lang, status in (("en", "in_progress"), ("fr", "failed")):
+        path = work_dir(spark)
+        lines.join(docs.filter(F.col("lang") == lang), "id").select("custom_id").write.parquet(path)
+        jobs.append({"manifest_parquet": path, "status": status, "ingested_at": ""})
+    return lines.join(batchjobs.queued_ids(spark, {"jobs": jobs}), "custom_id", "left_anti").select("id", "request_bytes")
+
+
+def distance_neighbours(spark, sf_dir):
+    """Cosine distance of each vector to its reverse."""
+    return vectors(spark, sf_dir).select("id", F.round(1 - similarity_cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("distance"))
+
+
+def usable_vectors(spark, sf_dir):
+    """Of each label how many vectors there are, of which length, and how many can't be used for cosines."""
+    rows = _table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    bad = ~all_finite(F.col("v")) | (norm(F.col("v")) == 0)
+    return rows.groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).cast("long").alias("dim"), F.sum(bad.cast("long")).alias("bad"))
+
+
 def label_lookup(spark, sf_dir):
     df = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label")
     known = df.filter("label IN (0, 1)").select("id", F.when(F.col("label") == 0, "reference").otherwise("corpus").alias("label"))
@@ -286,6 +320,6 @@ QUERIES = {
         flagship, cosine_pairs, cosine_matrix, cosine_to_reference_centroid, cosine_from_corpus_centroid, cosine_centroid_corner, score_cosine_linear, score_cosine_exponential,
         clean_lenient, clean_balanced, clean_strict, clean_policy_discard, clean_policy_conditional, clean_flags, strip_html_pages, calibrate_f1, calibrate_precision_at_recall, calibrate_curve,
         area_mean, area_covariance, area_distance_2d, area_distance_full, area_score, changed_rows, dry_run_preview, keep_newest, superseded_rows, duplicate_ids, natural_join_distances,
-        compare_embeddings, compare_summary, similarity_neighbours, batch_request_lines, batch_job_plan, batch_parse_output, label_lookup, sample_rows, local_embeddings, pca_projection, umap_projection,
+        compare_embeddings, compare_summary, similarity_neighbours, batch_request_lines, batch_job_plan, batch_parse_output, batch_collected_rows, queued_requests, distance_neighbours, usable_vectors, label_lookup, sample_rows, local_embeddings, pca_projection, umap_projection,
     )
 }

@@ -153,5 +153,9 @@ ORACLE_SQL = {
     "compare_summary": f"WITH {_COMPARED} SELECT count(*) AS matched_ids, round(avg(cosine_similarity), 6) AS mean_cosine_similarity, round(min(cosine_similarity), 6) AS min_cosine_similarity, round(max(max_abs_diff), 6) AS max_abs_diff FROM q",
     "similarity_neighbours": "WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT id, round(list_cosine_similarity(v, list_reverse(v)), 6) AS similarity FROM e",
     "batch_parse_output": "SELECT 'cid_' || vec_id AS custom_id, CAST(len(embedding) AS BIGINT) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS v1 FROM embeddings",
+    "batch_collected_rows": "SELECT CAST(vec_id AS VARCHAR) AS id, 'hash of ' || vec_id AS text_hash, 'openai' AS provider, 'model-x' AS model_id, CASE label WHEN 0 THEN 'reference' ELSE 'corpus' END AS part, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings",
+    "queued_requests": f"WITH {clean_sql('balanced')}, {_REQUESTS} SELECT id, bytes AS request_bytes FROM request JOIN cleaned USING (id) WHERE lang IS DISTINCT FROM 'en'",
+    "distance_neighbours": "WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT id, round(1 - list_cosine_similarity(v, list_reverse(v)), 6) AS distance FROM e",
+    "usable_vectors": "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, CAST(max(len(embedding)) AS BIGINT) AS dim, CAST(count(*) FILTER (len([x FOR x IN embedding IF NOT isfinite(x)]) > 0 OR list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])]) = 0) AS BIGINT) AS bad FROM embeddings GROUP BY label",
     "label_lookup": "SELECT CAST(vec_id AS VARCHAR) AS id, CASE label WHEN 0 THEN 'reference' WHEN 1 THEN 'corpus' ELSE 'other' END AS \"group\" FROM embeddings",
 }
