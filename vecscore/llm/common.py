@@ -41,6 +41,22 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Working tables of one step, deleted once its result is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialise(df, name))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        for table in self.tables:
+            drop_table(table)
+        self.tables = []
+
+
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as ``row``, with only the named columns beside it: no column of ``docs`` can clash with an operator's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import materialise
+from vecscore.llm.common import Scratch, materialise
 
 
 def canonical(text: str | None) -> bytes:
@@ -132,9 +132,10 @@ def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str
     equal, else 0. Texts are shuffled once, packed; where a fingerprint comes up
     again, the bytes behind it are compared.
     """
-    marked = materialise(_marked(docs, doc_id, text), "fingerprints")
-    again = materialise(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "again")
-    flagged = materialise(marked.join(again.withColumn("shared", F.lit(True)), "fingerprint", "left").select("doc_id", "h", F.coalesce("shared", F.lit(False)).alias("shared")), "flags")
+    scratch = Scratch()
+    marked = scratch(_marked(docs, doc_id, text), "fingerprints")
+    again = scratch(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "again")
+    flagged = scratch(marked.join(again.withColumn("shared", F.lit(True)), "fingerprint", "left").select("doc_id", "h", F.coalesce("shared", F.lit(False)).alias("shared")), "flags")
     cuts = _ranges(marked, target_rows)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("sha", pa.string()), ("edited_sha", pa.string()), ("zip", pa.binary())])
 
@@ -162,6 +163,7 @@ def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str
 
     rows = _dealt(docs, flagged, cuts, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sha string, edited_sha string, zip binary")
     rows = materialise(rows, "rows")
+    scratch.drop()
     groups = byte_groups(rows.filter("zip IS NOT NULL").select("doc_id", "fingerprint", F.col("zip").alias("canon"), "sha"))
     return _named(rows, groups)
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import SPACES, ascii_lower, boxed, materialise, unboxed
+from vecscore.llm.common import SPACES, Scratch, ascii_lower, boxed, materialise, unboxed
 
 #: An edit of one word in so many leaves four fifths of a line.
 MIN_WORDS = 5
@@ -127,9 +127,9 @@ def line_classes(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dg", "pos")).alias("first"), *rest)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, scratch) -> DataFrame:
     """The keys of ``rows`` (k, h1) that different lines have, as a written table."""
-    return materialise(rows.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("k"), "shared_keys")
+    return scratch(rows.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("k"), "shared_keys")
 
 
 def _halves(classes: DataFrame, min_words: int) -> DataFrame:
@@ -150,22 +150,22 @@ def _is_short(min_words: int):
     return (F.col("n") < 8) | ((F.col("n") == 8) & F.lit(min_words < 8))
 
 
-def open_lines(classes: DataFrame, min_words: int) -> DataFrame:
+def open_lines(classes: DataFrame, min_words: int, scratch=materialise) -> DataFrame:
     """``h1, h2, first, low, high`` of the distinct lines that may match another: those that share a half, and those too short for halves."""
     long_ = classes.filter(~_is_short(min_words))
     halves = _halves(long_, min_words)
-    shared = _shared(halves.select("k", "h1"))
+    shared = _shared(halves.select("k", "h1"), scratch)
     hits = halves.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    hits = materialise(hits, "hits")
+    hits = scratch(hits, "hits")
     found = long_.select("h1", "h2", "first").join(hits, ["h1", "h2"])
     short = classes.filter(_is_short(min_words) & (F.col("n") >= min_words)).select("h1", "h2", "first", F.lit(0).alias("low"), F.col("n").alias("high"))
     return found.unionByName(short)
 
 
-def _texts_of(lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _texts_of(lines: DataFrame, docs: DataFrame, doc_id: str, text: str, scratch=materialise) -> DataFrame:
     """``h1, h2, id, dg, pos, low, high, line``: each line's bytes, out of the document of its first place."""
     place = F.struct(F.col("first.pos").alias("pos"), "h1", "h2", "low", "high")
-    asked = materialise(lines.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list(place).alias("asked")), "asked")
+    asked = scratch(lines.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list(place).alias("asked")), "asked")
     found = _flat(docs, doc_id, text).join(asked, ["id", "dg"])
     at = found.withColumn("l", F.split(F.col("text").cast("string"), "\n")).select("id", "dg", "l", F.explode("asked").alias("x"))
     rows = at.select("x.h1", "x.h2", "id", "dg", "x.pos", "x.low", "x.high", F.get("l", F.col("x.pos")).cast("binary").alias("line"))
@@ -193,16 +193,17 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
 
 
 def near_matches(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h1, h2`` of the distinct lines that an earlier line matches by one edit. ``classes``: a written :func:`line_classes`."""
-    lines = materialise(_texts_of(open_lines(classes, min_words), docs, doc_id, text), "lines")
+    """``h1, h2`` of the distinct lines that an earlier line matches by one edit, as a written table. ``classes``: a written :func:`line_classes`."""
+    scratch = Scratch()
+    lines = scratch(_texts_of(open_lines(classes, min_words, scratch), docs, doc_id, text, scratch), "lines")
     every = _variant_rows(lines)
-    shared = _shared(every.select("k", "h1"))
-    rows = materialise(every.join(shared, "k", "left_semi"), "variants")
+    shared = _shared(every.select("k", "h1"), scratch)
+    rows = scratch(every.join(shared, "k", "left_semi"), "variants")
     order = F.struct("id", "dg", "pos")
     # a replacement: the earliest line of each (deletion, place); written, so that a hot key's rows can be split in the join
     deleted = rows.filter("at >= 0")
     earliest = deleted.groupBy("k", "at").agg(F.min(F.struct("id", "dg", "pos", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "at", "e")
-    earliest = materialise(earliest, "earliest")
+    earliest = scratch(earliest, "earliest")
     replaced = deleted.join(earliest, ["k", "at"]).filter(order > F.struct("e.id", "e.dg", "e.pos")).select("h1", "h2", "at", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("at").alias("e_at"))
     # an insertion: the one line equal to a deletion of the others
     whole = rows.filter("at < 0").select("k", F.struct("id", "dg", "pos", "h1", "h2").alias("w"))
@@ -211,7 +212,7 @@ def near_matches(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS
     inserted = inserted.select(
         F.when(later, F.col("h1")).otherwise(F.col("w.h1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("w.h2")).alias("h2"), F.when(later, F.col("at")).otherwise(F.lit(-1)).alias("at"),
         F.when(later, F.col("w.h1")).otherwise(F.col("h1")).alias("e1"), F.when(later, F.col("w.h2")).otherwise(F.col("h2")).alias("e2"), F.when(later, F.lit(-1)).otherwise(F.col("at")).alias("e_at"))
-    pairs = materialise(replaced.unionByName(inserted).distinct(), "pairs")
+    pairs = scratch(replaced.unionByName(inserted).distinct(), "pairs")
     # the hashes proposed the pairs; the words decide
     words = lines.select("h1", "h2", F.split(F.btrim(ascii_lower(F.col("line").cast("string")), F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("w"))
     pairs = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("w").alias("e_w")), ["e1", "e2"])
@@ -219,13 +220,16 @@ def near_matches(docs: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS
     def without(w: str, at: str) -> str:
         return f"IF({at} < 0, {w}, concat(slice({w}, 1, {at}), slice({w}, {at} + 2, size({w}))))"
 
-    return pairs.filter(F.expr(f"{without('w', 'at')} = {without('e_w', 'e_at')}")).filter(F.least(F.size("w"), F.size("e_w")) >= min_words).select("h1", "h2").distinct()
+    near = pairs.filter(F.expr(f"{without('w', 'at')} = {without('e_w', 'e_at')}")).filter(F.least(F.size("w"), F.size("e_w")) >= min_words)
+    near = materialise(near.select("h1", "h2").distinct(), "near_lines")
+    scratch.drop()
+    return near
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the kept lines in ``text``, and ``n_lines``, ``n_removed`` (lines with a word)."""
     classes = materialise(line_classes(docs, max(1, min_words), doc_id, text), "classes")
-    near = materialise(near_matches(docs, classes, max(1, min_words), doc_id, text), "near_lines")
+    near = near_matches(docs, classes, max(1, min_words), doc_id, text)
     stay = classes.join(near, ["h1", "h2"], "left_anti")
     places = stay.groupBy(F.col("first.id").alias("id"), F.col("first.dg").alias("dg")).agg(F.collect_list("first.pos").alias("kept"))
     own = F.col(text)

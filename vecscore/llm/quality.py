@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import SPACES, boxed, materialise, space_words, unboxed
+from vecscore.llm.common import SPACES, Scratch, boxed, materialise, space_words, unboxed
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -118,10 +118,13 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits(), doc_id: st
     that pushed such a filter down would count the windows of each text again and again.
     """
     keyed = _keyed(docs, doc_id, text, host)
-    line_rows = materialise(_line_rows(keyed), "line_rows")
-    over = materialise(frequent_lines(keyed, line_rows, limits), "frequent_lines")
+    scratch = Scratch()
+    line_rows = scratch(_line_rows(keyed), "line_rows")
+    over = scratch(frequent_lines(keyed, line_rows, limits), "frequent_lines")
     hits = line_rows.join(over, ["_host", "_h1", "_h2"])
     removed = hits.select(*_KEY, "_pos", "_nw").distinct().groupBy(*_KEY).agg(F.sum("_nw").alias("removed_words"), F.array_sort(F.collect_list("_pos")).alias("removed_lines"))
+    removed = materialise(removed, "removed")
+    scratch.drop()
     features = document_features(keyed)
     features = materialise(features.select("doc_id", *_KEY, *FEATURES, "base_failed"), "features")
     out = features.join(removed, _KEY, "left")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecscore.llm import simhash
-from vecscore.llm.common import drop_table, materialise
+from vecscore.llm.common import Scratch, materialise
 from vecscore.llm.graph import components
 from vecscore.llm.simhash import SEED, Trees, trie_pairs
 
@@ -230,33 +230,38 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame
 
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, words: int, percent: int, text: str = "text") -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets are similar enough; ``texts`` has ``node, text_hash, n``."""
+    scratch = Scratch()
     sized = pairs.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(texts.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     # sets of too different sizes can't be similar enough
-    pairs = materialise(sized.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
+    pairs = scratch(sized.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(_sets(docs, materialise(texts.join(wanted, "node"), "wanted"), words, text), "sets")
+    sets = scratch(_sets(docs, scratch(texts.join(wanted, "node"), "wanted"), words, text), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = materialise(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-    drop_table(sets)
+    scratch.drop()
     return links
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_hash, root`` of each row: rows of one group of near duplicates share ``root``."""
     marked = materialise(fingerprints(docs, words, doc_id, text), "fingerprints")
+    scratch = Scratch()
     first = [F.first(c).alias(c) for c in ("n", *_W)]
-    nodes = materialise(marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *first).filter("n > 0"), "nodes")
+    nodes = scratch(marked.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *first).filter("n > 0"), "nodes")
     texts = nodes.select("node", "text_hash", "n")
-    tried = materialise(candidates(nodes.withColumn("root", F.col("node")), percent, spanned=True), "candidates")
+    tried = scratch(candidates(nodes.withColumn("root", F.col("node")), percent, spanned=True), "candidates")
     links = verified(tried, docs, texts, words, percent, text)
-    found = materialise(components(links), "components")
+    scratch.tables.append(links)
+    found = scratch(components(links), "components")
     # once more, between the groups of those that have a candidate at all
     open_ = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    open_ = materialise(nodes.join(open_, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "open")
-    rest = materialise(candidates(open_, percent, spanned=False).join(tried, ["a", "b"], "left_anti"), "rest")
+    open_ = scratch(nodes.join(open_, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "open")
+    rest = scratch(candidates(open_, percent, spanned=False).join(tried, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, docs, texts, words, percent, text)
+    scratch.tables.append(more)
     found = materialise(components(links.unionByName(more)), "components")
+    scratch.drop()
     return marked.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import materialise
+from vecscore.llm.common import Scratch, materialise
 from vecscore.llm.graph import components
 
 SEED = 42
@@ -274,13 +274,15 @@ def links(nodes: DataFrame, bits: int = 4, block: int = 8192, m: int | None = No
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_hash, fingerprint, component_id, copies, root`` for each row of ``docs``; root is the component's own name, whatever its ids."""
     marked = materialise(fingerprints(docs, words, doc_id, text), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
-    found = materialise(components(links(nodes.select("fp"), bits)), "components")
+    scratch = Scratch()
+    nodes = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    found = scratch(components(links(nodes.select("fp"), bits)), "components")
     roots = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     first = roots.join(nodes.select(F.col("fp").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
     named = roots.join(first, "root").select(F.col("node").alias("fp"), "root", "least")
     # written, so that both sides of the last join are plain exchanges and a fingerprint of many rows can be split
     classes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "copies", F.coalesce("root", "fp").alias("root")), "classes")
+    scratch.drop()
     return marked.join(classes, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies", "root")
 
 

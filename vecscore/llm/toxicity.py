@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecscore.llm.common import ascii_lower, materialise
+from vecscore.llm.common import Scratch, ascii_lower, materialise
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Of UTF-8 bytes: A to Z become a to z, what lies between words becomes a blank.
@@ -251,14 +251,16 @@ def token_counts(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text
     # a token counts once a document: repeats of it in one text say no more about the label
     train = _training(docs, known, doc_id, text).select("y", "fold", F.explode(text_tokens(F.col("text"))).alias("w"))
     each = [x for f in range(FOLDS) for x in (F.sum(F.when(F.col("fold") == f, F.col("y")).otherwise(0)).alias(f"bad{f}"), F.sum((F.col("fold") == f).cast("long")).alias(f"all{f}"))]
-    counts = materialise(train.groupBy("w").agg(*each), "counts")
+    scratch = Scratch()
+    counts = scratch(train.groupBy("w").agg(*each), "counts")
     total = lambda kind: sum((F.col(f"{kind}{f}") for f in range(FOLDS)), F.lit(0))
     several = counts.filter(total("all") > 1)
     clean = several.agg(*[F.sum(F.col(f"all{f}") - F.col(f"bad{f}")).alias(f"c{f}") for f in range(FOLDS)]).first()
     parts = [(total("bad"), total("all"), n_bad.sum(), n_good.sum())] + [(total("bad") - F.col(f"bad{f}"), total("all") - F.col(f"all{f}"), n_bad.sum() - n_bad[f], n_good.sum() - n_good[f]) for f in range(FOLDS)]
     clear = [_apart(b, a, float(n1), float(n0)) >= ROUGH for b, a, n1, n0 in parts]
-    likely = materialise(several.filter(F.greatest(*clear)), "likely")
+    likely = scratch(several.filter(F.greatest(*clear)), "likely")
     found = likely.orderBy("w").collect()  # no more than the bounded sample's distinct tokens
+    scratch.drop()
     words = [r["w"] for r in found]
     seen = dict.fromkeys(words, 0) | {r["w"]: r["seen"] for r in documents_with(docs, words, text).collect()}
     column = lambda kind: np.array([[r[f"{kind}{f}"] for f in range(FOLDS)] for r in found], dtype=float).reshape(len(found), FOLDS)
