@@ -63,6 +63,31 @@ def test_flight_keeps_both_totals():
         assert (p.sum(), (p * size).sum()) == pytest.approx(before, abs=1e-6)
 
 
+def test_flight_keeps_each_probability():
+    """Over many draws every document is taken as often as its probability says: moves are balanced, not biased."""
+    p0, size = np.array([0.2, 0.7, 0.4, 0.55, 0.9, 0.35]), np.array([3.0, 1.0, 4.0, 1.0, 5.0, 9.0])
+    rng, total = np.random.default_rng(3), np.zeros(6)
+    for _ in range(4000):
+        p = p0.copy()
+        mixing.flight(p, size, rng.random(20))
+        total += p
+    assert np.abs(total / 4000 - p0).max() < 0.03
+
+
+def test_landing_is_the_best_of_all_choices():
+    import itertools
+
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        n = int(rng.integers(1, 8))
+        p, size = rng.random(n), rng.integers(1, 50, n).astype(float)
+        words, rows_ = float((p * size).sum()), float(p.sum())
+        able = [c for c in itertools.product([0, 1], repeat=n) if abs(sum(c) - rows_) < 1.5]
+        best = min(abs(np.dot(c, size) - words) for c in able)
+        mixing.land(p, size)
+        assert set(p) <= {0.0, 1.0} and abs(p.sum() - rows_) < 1.5 and abs(p @ size - words) == pytest.approx(best)
+
+
 def test_mix_of_odd_tables(spark, odd, none):
     mixed = mixing.mix(odd)
     assert mixed.count() == odd.count()
