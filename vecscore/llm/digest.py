@@ -77,14 +77,14 @@ def _ranges(marked: DataFrame, target_rows: int, most: int = 65_536) -> list[tup
 
 
 def _with_range(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` (doc_id, h, shared) with ``range``: how many of the cuts the row reaches."""
+    """``doc_id, h, range`` of ``rows``: how many of the cuts the row reaches."""
 
     def run(batches):
         for batch in batches:
             found = [bisect_right(cuts, _key(i, h)) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["doc_id", "h", "shared", "range"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["doc_id", "h", "range"])
 
-    return rows.select("doc_id", "h", "shared").mapInArrow(run, "doc_id long, h long, shared boolean, range int")
+    return rows.select("doc_id", "h").mapInArrow(run, "doc_id long, h long, range int")
 
 
 def _zipped(docs: DataFrame, cuts: list[tuple[int, int]], firsts: list[tuple[int, int | None, int]], doc_id: str, text: str) -> DataFrame:
@@ -109,16 +109,15 @@ def _zipped(docs: DataFrame, cuts: list[tuple[int, int]], firsts: list[tuple[int
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "range int, kind int, doc_id long, h long, zip binary")
 
 
-def _dealt(docs: DataFrame, flagged: DataFrame, cuts: list[tuple[int, int]], doc_id: str, text: str) -> DataFrame:
+def _dealt(docs: DataFrame, marked: DataFrame, shared: DataFrame, cuts: list[tuple[int, int]], doc_id: str, text: str) -> DataFrame:
     """Rows in ranges, each range in order and followed by the first row of the next one.
 
     ``range, kind, doc_id, h, zip``; kind 0 says that the fingerprint of the row after it comes
     up again, kind 2 marks the next range's row. Of rows alike in doc_id and text the range's
     first ones all are the tail of the range before, which takes one of them.
     """
-    rows = _with_range(flagged, cuts)
-    firsts = sorted((r["range"], r["f"]["doc_id"], r["f"]["h"]) for r in rows.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect())  # a row per range
-    flags = rows.filter("shared").select("range", F.lit(0).alias("kind"), "doc_id", "h", F.lit(None).cast("binary").alias("zip"))
+    firsts = sorted((r["range"], r["f"]["doc_id"], r["f"]["h"]) for r in _with_range(marked, cuts).groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect())  # a row per range
+    flags = _with_range(shared, cuts).select("range", F.lit(0).alias("kind"), "doc_id", "h", F.lit(None).cast("binary").alias("zip"))
     dealt = _zipped(docs, cuts, firsts, doc_id, text).unionByName(flags)
     return dealt.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", F.expr("kind = 2"), F.col("doc_id").asc_nulls_first(), "h", "kind")
 
@@ -135,7 +134,6 @@ def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str
     scratch = Scratch()
     marked = scratch(_marked(docs, doc_id, text), "fingerprints")
     again = scratch(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "again")
-    flagged = scratch(marked.join(again.withColumn("shared", F.lit(True)), "fingerprint", "left").select("doc_id", "h", F.coalesce("shared", F.lit(False)).alias("shared")), "flags")
     cuts = _ranges(marked, target_rows)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("sha", pa.string()), ("edited_sha", pa.string()), ("zip", pa.binary())])
 
@@ -161,7 +159,7 @@ def document_fingerprints(docs: DataFrame, target_rows: int = 8192, doc_id: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    rows = _dealt(docs, flagged, cuts, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sha string, edited_sha string, zip binary")
+    rows = _dealt(docs, marked, marked.join(again, "fingerprint"), cuts, doc_id, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, sha string, edited_sha string, zip binary")
     rows = materialise(rows, "rows")
     scratch.drop()
     groups = byte_groups(rows.filter("zip IS NOT NULL").select("doc_id", "fingerprint", F.col("zip").alias("canon"), "sha"))
