@@ -15,13 +15,13 @@ from vecscore.functions.vectors import all_finite, norm, similarity_cosine
 from vecscore.operators import area, batchjobs, calibrate, cleaning, compare, cosine, embed, projection, relational
 from vecscore.plans.sql import ORACLE_SQL  # noqa: F401
 from vecscore.sources.providers import backend_config, embed_frame
-from vecscore.staging import materialise, work_dir
+from vecscore.staging import materialise, spread, work_dir
 
 REGULARIZATION = 0.1  # of the areas: with 1e-6 nearly all scores of these vectors are 0
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = os.path.join(work_dir(spark), name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in one partition for each of the cluster's cores, if its files give fewer.
+
+    A file of one row group is read by one task, and all that follows the scan would stay in
+    it. Larger tables have more row groups than there are cores and are left as they are.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= want else df.repartition(want)
