@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecscore.staging import materialise, work_dir  # noqa: F401
+from vecscore.staging import materialise, spread, work_dir  # noqa: F401
 
 #: The white space of the word contracts: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -15,7 +15,7 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def ascii_lower(text: Column) -> Column:
