@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import rows
 from vecscore.llm import mixing, packing, toxicity, urls
@@ -184,3 +185,15 @@ def test_passages_are_told(spark):
     df = spark.createDataFrame([(1, "nice words " * 30 + "You AWFUL, horrible thing " + "nice words " * 30), (2, "nice"), (3, None)], "doc_id long, text string")
     found = toxicity.toxic_passages(df, model).collect()
     assert [(r["doc_id"], r["first_word"], r["end_word"], r["words"]) for r in found] == [(1, 61, 63, "awful horrible")]
+
+
+def test_texts_are_joined_once_unless_rows_are_alike(spark):
+    plain = [(k, f"text {k}") for k in range(6)]
+    taken = {0: 0, 1: 1, 2: 2, 3: 1, 4: 0, 5: 2}
+    for rows, joins in ((plain, 1), ([*plain, (2, "text 2")], 2)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        mixed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.element_at(F.create_map(*[F.lit(x).cast("long") for p in taken.items() for x in p]), F.col("doc_id")).alias("copies"))
+        mixed = mixed.withColumn("copies", F.when((F.col("doc_id") == 2) & F.lit(joins == 2), 1).otherwise(F.col("copies")))  # two rows of it, one copy each
+        found = mixing.repeated(docs, mixed)
+        assert found._jdf.queryExecution().analyzed().toString().count("Join") == joins
+        assert sorted(r["doc_id"] for r in found.collect()) == [1, 2, 2, 3, 5, 5]

@@ -167,8 +167,11 @@ def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: st
     copies = materialise(copies, "copies")
     keyed = boxed(docs, id=F.coalesce(F.col(doc_id), F.lit(-1)), h=F.xxhash64(F.col(doc_id), F.col(text)))
     one = keyed.join(copies.filter("rows = 1 AND sum > 0"), ["id", "h"]).withColumn("each", F.col("sum").cast("int"))
-    # rows alike in id and text share their copies out among them; nearly always there are none
+    one = one.select("row", "each")
+    if not copies.filter("rows > 1 AND sum > 0").limit(1).count():  # nearly always; the texts aren't read once more then
+        return unboxed(one.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("each")))), docs)
+    # rows alike in id and text share their copies out among them
     several = keyed.join(copies.filter("rows > 1 AND sum > 0"), ["id", "h"])
     k = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64("row")))
-    several = several.withColumn("k", k).withColumn("each", (F.floor(F.col("sum") / F.col("rows")) + F.when(F.col("k") <= F.col("sum") % F.col("rows"), 1).otherwise(0)).cast("int")).drop("k")
+    several = several.withColumn("k", k).withColumn("each", (F.floor(F.col("sum") / F.col("rows")) + F.when(F.col("k") <= F.col("sum") % F.col("rows"), 1).otherwise(0)).cast("int")).select("row", "each")
     return unboxed(one.unionByName(several).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("each")))), docs)
